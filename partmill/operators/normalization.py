@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, lov_key, strip
 from ..functions.values import approve_fractions, canonical_unit, split_units, stage
-from ..scale import lookup
+from ..scale import lookup, materialize
+from ..sources.dimensions import lov_index, lov_lists
 
 
 class Vocabulary:
-    """Lookup tables for controlled values (see `sources.dimensions.lov_index`)."""
+    """Lookup tables for controlled values: allowed lists and accepted spellings."""
 
     def __init__(self, lists: DataFrame, index: DataFrame):
-        self.lists = lists.groupBy("label_key", "classpath").agg(
+        self.lists, self.index = lists, index
+
+    @classmethod
+    def build(cls, lov: DataFrame, taxonomy: DataFrame, alias_file: DataFrame) -> Vocabulary:
+        """Derive both tables once and write them; every later lookup reads the small files."""
+        lists = lov_lists(lov, taxonomy).groupBy("label_key", "classpath").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("position", "canonical"))),
                         lambda s: s["canonical"]).alias("allowed"))
-        self.index = index
+        return cls(materialize(lists, "lov-lists"), materialize(lov_index(lov, taxonomy, alias_file), "lov-index"))
 
 
 def resolve_lov(df: DataFrame, vocab: Vocabulary, value: str = "value", label: str = "label",
