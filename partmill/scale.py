@@ -24,6 +24,9 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # Lookup joins run on derived keys, never on partition columns. The pruning rule
+        # still expands every derived key to its inputs, which took most of planning time.
+        "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false",
     }.items():
         spark.conf.set(key, value)
     return spark
