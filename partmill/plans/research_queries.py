@@ -1 +1,136 @@
+"""Source discovery on the driver tables: pages stand in for search hits."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import urls
+from ..operators import research
+from . import sqltext as q
+from .fixtures import Tables
+from .registry import query
+from .text_queries import HOST, NORM_URL, RELEVANCE
+
+CONTEXT = f"""ctx AS (SELECT u.product_id, mpn, {q.display('product_type')} AS product_type, {q.display("coalesce(nullif(bc, ''), nullif(brand_candidate, ''))")} AS brand, {q.display("coalesce(nullif(mc, ''), nullif(manufacturer_candidate, ''), nullif(manufacturer, ''))")} AS manufacturer
+  FROM (SELECT *, CASE WHEN product_id % 3 = 0 THEN 'Brand_Canon' ELSE '' END AS bc, CASE WHEN product_id % 4 = 0 THEN 'Maker-Canon' END AS mc FROM understood) u)"""
+# Domain names: maker 'Supplier N Inc' -> two hosts, brand 'Brand#N' -> one host.
+DOMAINS = """dom AS (SELECT 'manufacturer' AS kind, s_suppkey AS entry, s_name AS name, 0 AS position, 'www.maker' || CAST(s_suppkey AS STRING) || '.com' AS domain FROM supplier UNION ALL SELECT 'manufacturer', s_suppkey, s_name, 1, 'shared' || CAST(s_suppkey % 10 AS STRING) || '.com' FROM supplier
+  UNION ALL SELECT 'brand', b, 'Brand#' || CAST(b AS STRING), 0, CASE WHEN b % 2 = 0 THEN 'Shared' ELSE 'brand' END || CAST(b AS STRING) || '.com' FROM (SELECT DISTINCT CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS b FROM part) x)"""
+HOSTS = f"""w AS (SELECT product_id, 'manufacturer' AS kind, {q.entity_key('manufacturer')} AS k FROM ctx UNION ALL SELECT product_id, 'brand', {q.entity_key('brand')} FROM ctx),
+dk AS (SELECT *, {q.entity_key('name')} AS dkey, regexp_replace(lower(domain), '^www\\.', '') AS host FROM dom),
+h AS (SELECT product_id, host, min(CASE WHEN w.kind = 'manufacturer' THEN 0 ELSE 1000000 END + entry * 10 + position) AS r FROM w JOIN dk ON dk.kind = w.kind AND k <> '' AND (starts_with(k, dkey) OR starts_with(dkey, k)) GROUP BY product_id, host),
+hosts AS (SELECT product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY r, host) AS INT) AS ordinal, host FROM h)"""
+
+
+def context(t: Tables):
+    df = t.understood.withColumns({
+        "brand_canonical": F.when(F.col("product_id") % 3 == 0, "Brand_Canon").otherwise(""),
+        "manufacturer_canonical": F.when(F.col("product_id") % 4 == 0, "Maker-Canon")})
+    return research.research_context(df)
+
+
+def domains(t: Tables):
+    return t.sql(DOMAINS[DOMAINS.index("(") + 1:-1])
+
+
+@query("joi_17_research_context", "understood", f"WITH {CONTEXT} SELECT * FROM ctx")
+def research_context(t: Tables):
+    """JOI-17: resolved, candidate, raw."""
+    return context(t).select("product_id", "mpn", "product_type", "brand", "manufacturer")
+
+
+@query("joi_08_domain_lookup", "understood", f"WITH {CONTEXT}, {DOMAINS}, {HOSTS} SELECT * FROM hosts")
+def domain_lookup(t: Tables):
+    """JOI-08: prefix match either way, as equi-joins; the SQL side uses the theta join."""
+    return research.product_domains(context(t), domains(t))
+
+
+@query("set_05_search_queries", "understood", f"""WITH {CONTEXT}, {DOMAINS}, {HOSTS},
+g AS (SELECT product_id, 0 AS p, mpn || ' ' || trim(brand) AS query FROM ctx WHERE trim(brand) <> '' UNION ALL SELECT c.product_id, ordinal, mpn || ' site:' || host FROM ctx c JOIN hosts USING (product_id)
+  UNION ALL SELECT product_id, 1000000, mpn FROM ctx UNION ALL SELECT product_id, 1000001, mpn || ' ' || trim(product_type) FROM ctx WHERE trim(product_type) <> '' UNION ALL SELECT product_id, 1000002, mpn || ' specification' FROM ctx UNION ALL SELECT product_id, 1000003, mpn || ' PDF' FROM ctx)
+SELECT product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY p) - 1 AS INT) AS query_pos, query, CASE WHEN p < 1000000 THEN 1 ELSE 2 END AS tier FROM g""")
+def search_queries(t: Tables):
+    """SET-05: ordered distinct queries with their tier."""
+    c = context(t)
+    return research.search_queries(c, research.product_domains(c, domains(t)))
+
+
+CLASS_SQL = f"""seen AS (SELECT * FROM (SELECT *, {NORM_URL} AS norm_url, {HOST} AS host, row_number() OVER (PARTITION BY product_id, {NORM_URL} ORDER BY query_pos, hit_pos) AS rn FROM page_hits) x WHERE rn = 1),
+kinds AS (SELECT *, CASE WHEN host = 'example.com' OR host LIKE '%.example.com' THEN CASE WHEN product_id % 2 = 0 THEN 'manufacturer' ELSE 'retailer' END WHEN host LIKE '%.example.net' THEN 'marketplace' ELSE 'unknown' END AS host_kind FROM seen)"""
+
+
+def classes(t: Tables):
+    """Host classes of the page hosts' top levels, derived from the pages themselves."""
+    top = t.pages.select(F.explode(urls.host_suffixes(urls.url_host(F.col("url")))).alias("suffix")).distinct()
+    return top.select("suffix", F.when(F.col("suffix") == "example.com", "retailer").when(
+        F.col("suffix") == "example.net", "marketplace").alias("kind")).where("kind is not null")
+
+
+def own_hosts(t: Tables):
+    return t.page_hits.where("product_id % 2 = 0").select("product_id", F.lit("example.com").alias("host")).distinct()
+
+
+def seen(t: Tables):
+    hits = research.first_seen(t.page_hits).withColumn("host", urls.url_host(F.col("url")))
+    return research.classify_hosts(hits, classes(t), own_hosts(t), "product_id")
+
+
+@query("joi_09_host_class", "page_hits", f"WITH {CLASS_SQL} SELECT product_id, hit_pos, host_kind FROM kinds")
+def host_class(t: Tables):
+    """JOI-09: suffix match by dot-suffix equi-join, manufacturer first."""
+    return seen(t).select("product_id", "hit_pos", "host_kind")
+
+
+@query("win_01_first_seen", "page_hits", f"WITH {CLASS_SQL} SELECT product_id, norm_url, hit_pos FROM seen")
+def first_seen(t: Tables):
+    """WIN-01: first hit per normalized URL."""
+    return research.first_seen(t.page_hits).select("product_id", "norm_url", "hit_pos")
+
+
+RANKED = f"""{CLASS_SQL}, sc AS (SELECT *, lower(url || ' ' || title || ' ' || snippet) AS b, {RELEVANCE} AS rel FROM kinds),
+sd AS (SELECT *, CASE WHEN contains(b, 'catalog') THEN 'CATALOG' WHEN regexp_matches(b, 'install|manual|instruction') THEN 'INSTALLATION_MANUAL' WHEN regexp_matches(b, 'spec|datasheet|data sheet') THEN 'SPECIFICATION' WHEN host_kind = 'manufacturer' THEN 'PRODUCT_PAGE' ELSE 'OTHER' END AS ct FROM sc WHERE rel > 0),
+se AS (SELECT *, CAST(CASE host_kind WHEN 'manufacturer' THEN CASE ct WHEN 'CATALOG' THEN 0.85 WHEN 'INSTALLATION_MANUAL' THEN 0.9 WHEN 'SPECIFICATION' THEN 0.95 ELSE 1.0 END WHEN 'retailer' THEN 0.45 WHEN 'marketplace' THEN 0.2 ELSE 0.1 END AS DOUBLE) AS auth FROM sd)"""
+
+
+@query("win_02_source_ranking", "page_hits", f"""WITH {RANKED} SELECT product_id, hit_pos, authority_score, relevance_score, source_rank FROM (SELECT product_id, hit_pos, auth AS authority_score, rel AS relevance_score, CAST(row_number() OVER (PARTITION BY product_id ORDER BY auth * 100 + rel * 50 DESC, query_pos, hit_pos) AS INT) AS source_rank FROM se) r WHERE source_rank <= 5""")
+def source_ranking(t: Tables):
+    """WIN-02: top five matching hits per product (top-k report)."""
+    return research.rank_sources(research.score_hits(seen(t))).select("product_id", "hit_pos", "authority_score", "relevance_score", "source_rank")
+
+
+@query("win_03_tier_fallback", "page_hits", f"""WITH {RANKED}, f AS (SELECT *, max(CASE WHEN tier = 1 AND host_kind = 'manufacturer' THEN 1 ELSE 0 END) OVER (PARTITION BY product_id) AS settled FROM se),
+r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY auth * 100 + rel * 50 DESC, query_pos, hit_pos) AS rn FROM f WHERE tier = 1 OR settled = 0)
+SELECT p.product_id, count(r.product_id) AS sources_found, coalesce(bool_or(host_kind = 'manufacturer'), false) AS manufacturer_found, CASE WHEN coalesce(bool_or(host_kind = 'manufacturer'), false) THEN 'RESEARCHED' ELSE 'NO_AUTHORITATIVE_SOURCE' END AS status,
+  NOT coalesce(bool_or(host_kind = 'manufacturer'), false) AS requires_review FROM (SELECT DISTINCT product_id FROM page_hits) p LEFT JOIN r ON r.product_id = p.product_id AND rn <= 5 GROUP BY p.product_id""")
+def tier_fallback(t: Tables):
+    """WIN-03: fallback tier only without a manufacturer source; product status."""
+    ranked = research.rank_sources(research.two_tier(research.score_hits(seen(t))))
+    return research.research_status(ranked, t.page_hits.select("product_id").distinct())
+
+
+@query("win_04_best_manufacturer_source", "product_sources", """
+SELECT product_id, source_id, url FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY authority_score DESC, relevance_score DESC, source_id) AS rn FROM product_sources WHERE source_type = 'MANUFACTURER') x WHERE rn = 1""")
+def best_source(t: Tables):
+    """WIN-04: best manufacturer source per product."""
+    return research.best_manufacturer_source(t.product_sources).select("product_id", "source_id", "url")
+
+
+LOG = """SELECT user_id AS product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS query_pos, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS tier, value AS duration_ms, event_type = 'purchase' AND event_id % 4 = 0 AS manufacturer_found FROM events"""
+
+
+@query("agg_11_search_metrics", "", f"""WITH log AS ({LOG})
+SELECT product_id, count(*) AS queries_attempted, CAST(coalesce(min(CASE WHEN manufacturer_found THEN query_pos + 1 END), 0) AS BIGINT) AS queries_until_manufacturer_found, round(sum(duration_ms), 3) AS search_total_ms, round(sum(duration_ms) / count(*), 3) AS search_avg_ms,
+  round(max(duration_ms), 3) AS search_max_ms, round(coalesce(max(duration_ms) FILTER (tier = 1), 0), 3) AS tier1_wall_ms, round(coalesce(max(duration_ms) FILTER (tier = 2), 0), 3) AS tier2_wall_ms, count(*) FILTER (tier = 1) AS tier1_queries, count(*) FILTER (tier = 2) AS tier2_queries,
+  bool_or(manufacturer_found) AS manufacturer_found, count(*) + product_id % 3 AS query_count, bool_or(manufacturer_found) AND product_id % 3 > 0 AS early_exit FROM log GROUP BY product_id""")
+def search_metrics(t: Tables):
+    """AGG-11: search metrics per product over the query log."""
+    log = t.sql(LOG)
+    planned = log.groupBy("product_id").agg((F.count(F.lit(1)) + F.first("product_id") % 3).alias("query_count"))
+    return research.search_metrics(log, planned)
+
+
+@query("win_06_query_positions", "", f"""WITH log AS ({LOG})
+SELECT product_id, query_pos + 1 AS position, manufacturer_found, min(CASE WHEN manufacturer_found THEN query_pos + 1 END) OVER (PARTITION BY product_id) AS first_manufacturer_pos FROM log""")
+def query_positions(t: Tables):
+    """WIN-06: position of each query and the first manufacturer hit."""
+    return research.query_positions(t.sql(LOG)).select("product_id", "position", "manufacturer_found", "first_manufacturer_pos")
