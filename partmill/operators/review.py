@@ -86,7 +86,7 @@ def classification_drafts(classifications: DataFrame) -> DataFrame:
         classifications.where(F.col("confidence") < CLASSIFY_REVIEW),
         product_id=F.col("product_id"), issue_type=F.lit("LOW_CLASSIFICATION_CONFIDENCE"),
         severity=F.lit("MEDIUM"), attribute=F.lit("Classification"), current_value=F.col("classpath"),
-        reason=F.concat(F.lit("Classification confidence "), F.format_number("confidence", "0.00"),
+        reason=F.concat(F.lit("Classification confidence "), F.format_string("%.2f", "confidence"),
                         F.lit(" is below the review threshold.")),
         ai_value=F.col("classpath"), confidence=F.col("confidence"))
 
