@@ -118,9 +118,9 @@ def evidence_queries(products: DataFrame, template: DataFrame) -> DataFrame:
     title does not answer already. Needs mpn, fine, classpath and description."""
     titled = with_title_candidates(products.select("product_id", "mpn", "fine", "classpath", "description"),
                                    "description", "_c")
-    titled = titled.withColumn("_known", F.transform("_c", lambda c: c["label"]))
+    titled = titled.withColumn("_titled", F.transform("_c", lambda c: c["label"]))
     specs = expand_template(titled.drop("_c", "description"), template)
-    answered = F.col("label").isin(INPUT_STRONG_LABELS) & F.array_contains("_known", F.col("label"))
+    answered = F.col("label").isin(INPUT_STRONG_LABELS) & F.array_contains("_titled", F.col("label"))
     # A template has a few dozen questions at most, so the list per product stays small.
     asked = specs.groupBy("product_id", "mpn", "fine").agg(F.transform(
         F.array_sort(F.collect_list(F.when(~answered, F.struct("position", "query")))),

@@ -151,12 +151,12 @@ def decisions(t: Tables):
 
 
 @query("rev_04_updated_attributes", "product_reviews extracted", f"""WITH {OUTCOME},
-g AS (SELECT DISTINCT product_id, label, dec, chosen, normalized_value AS nv FROM j WHERE has_row AND qs IN ('PENDING','IN_REVIEW') AND product_id < 500 AND review_id IN (SELECT max(review_id) FROM j WHERE qs IN ('PENDING','IN_REVIEW') GROUP BY product_id, label))
+g AS (SELECT DISTINCT product_id, label, dec, chosen, normalized_value AS nv FROM j WHERE has_row AND qs IN ('PENDING','IN_REVIEW') AND review_id IN (SELECT max(review_id) FROM j WHERE qs IN ('PENDING','IN_REVIEW') GROUP BY product_id, label))
 SELECT a.product_id, a.label, CASE WHEN g.dec IS NULL THEN a.normalized_value WHEN g.dec = 'SELECT_CANDIDATE' THEN g.chosen WHEN g.dec = 'APPROVE_CURRENT' THEN a.normalized_value END AS normalized_value, g.dec AS review_decision FROM attrs a LEFT JOIN g ON g.product_id = a.product_id AND g.label = a.label""")
 def updated_attributes(t: Tables):
-    """REV-04: attribute table after the newest open decision per attribute of the first products."""
+    """REV-04: attribute table after the newest open decision per attribute."""
     attrs, _, out = decided(t)
-    good = out.where("problem is null and product_id < 500")
+    good = out.where("problem is null")
     last = good.groupBy("product_id", "label").agg(F.max("review_id").alias("review_id"))
     chosen = good.join(last.select("review_id"), "review_id", "left_semi")
     return review.updated_attributes(attrs, chosen).select("product_id", "label", "normalized_value", "review_decision")
