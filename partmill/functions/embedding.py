@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import VECTOR_DIM
 
@@ -20,7 +21,7 @@ def slot(token: str, dim: int = VECTOR_DIM) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_vector(texts: pd.Series) -> pd.Series:
     seen: dict[str, int] = {}
     out = []

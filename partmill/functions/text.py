@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import BRAND_PLACEHOLDERS, ENTITY_PLACEHOLDERS, LEGAL_SUFFIXES
 
@@ -14,12 +15,12 @@ from ..constants import BRAND_PLACEHOLDERS, ENTITY_PLACEHOLDERS, LEGAL_SUFFIXES
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
