@@ -18,7 +18,7 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def load_alias_catalog(spark: SparkSession, path: str) -> DataFrame:
     """[{canonical_name, aliases}] -> alias rows (see `alias_rows`)."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     entries = raw.select(F.posexplode(F.from_json(
         "value", "array<struct<canonical_name:string,aliases:array<string>>>")).alias("entry", "e"))
     return alias_rows(entries.select("entry", F.col("e.canonical_name").alias("canonical"),
@@ -48,7 +48,7 @@ def first_wins(aliases: DataFrame, key: str) -> DataFrame:
 
 
 def load_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.posexplode(F.from_json(
         "value", "array<struct<department:string,class_name:string,fine:string,"
                  "classpath:string,aliases:array<string>>>")).alias("node", "t")).select("node", "t.*")

@@ -53,7 +53,7 @@ def with_file_position(df: DataFrame, out: str = "row_position") -> DataFrame:
 
 def read_product_csv(spark: SparkSession, path: str, columns: dict[str, str] = INTAKE_COLUMNS) -> DataFrame:
     """All-string CSV scan; required headers are checked by name before any row is read."""
-    header = [c.lstrip("﻿").strip() for c in _csv_header(spark, path)]
+    header = [c.lstrip("\ufeff").strip() for c in _csv_header(spark, path)]
     missing = [c for c in columns.values() if c not in header]
     if missing:
         raise MissingColumnError(missing)
@@ -77,12 +77,12 @@ def read_product_json(spark: SparkSession, path: str, lines: bool = False) -> Da
 
     A record that is not an object keeps its place and carries `not_object`.
     """
-    text = spark.read.option("wholetext", not lines).text(path)
+    text = spark.read.text(path, wholetext=not lines)
     if lines:
         placed = with_file_position(text).where(has_text(F.col("value")))
         records = placed.select("source_file", "row_position", F.col("value").alias("record"))
     else:
-        body = strip(F.regexp_replace(F.col("value"), "^﻿", ""))
+        body = strip(F.regexp_replace(F.col("value"), "^\ufeff", ""))
         items = F.when(body.startswith("["), F.from_json(body, "array<string>")).otherwise(F.array(body))
         records = text.select(F.col("_metadata.file_path").alias("source_file"),
                               F.posexplode(items).alias("pos", "record")).select(
