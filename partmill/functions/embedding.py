@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -26,21 +27,24 @@ def hash_vector(texts: pd.Series) -> pd.Series:
     seen: dict[str, int] = {}
     out = []
     for text in texts:
-        vector = np.zeros(VECTOR_DIM)
-        for token in TOKEN.findall((text or "").lower()):
-            if token not in seen:
-                seen[token] = slot(token)
-            vector[seen[token]] += 1.0
-            if len(token) >= 3:
-                head = token[:3]
-                if head not in seen:
-                    seen[head] = slot(head)
-                vector[seen[head]] += 0.25
+        index, weight = [], []
+        for token, n in Counter(TOKEN.findall((text or "").lower())).items():
+            for feature, w in ((token, 1.0), (token[:3], 0.25)) if len(token) >= 3 else ((token, 1.0),):
+                at = seen.get(feature)
+                if at is None:
+                    at = seen[feature] = slot(feature)
+                index.append(at)
+                weight.append(w * n)
+        vector = np.bincount(np.array(index, dtype="int64"), weights=weight, minlength=VECTOR_DIM)
         norm = float(np.sqrt((vector * vector).sum())) or 1.0
         out.append(vector / norm)
     return pd.Series(out)
 
 
+# Never evaluated a second time for a filter the optimizer infers from its result.
+hash_vector = hash_vector.asNondeterministic()
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
                        lambda acc, v: acc + v)

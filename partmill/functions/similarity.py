@@ -63,3 +63,8 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+
+
+# A filter on a score must not cost a second evaluation of it.
+token_sort_ratio = token_sort_ratio.asNondeterministic()
+token_set_ratio = token_set_ratio.asNondeterministic()

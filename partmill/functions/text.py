@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from ..constants import BRAND_PLACEHOLDERS, ENTITY_PLACEHOLDERS, LEGAL_SUFFIXES
 
-# \s of the source rules is Unicode-aware; trim() in SQL only drops blanks.
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Every character that counts as white space, so trimming needs no regular expression.
+WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 @F.pandas_udf(T.StringType())
@@ -35,7 +35,7 @@ def _unicode_form(c: Column, udf) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:

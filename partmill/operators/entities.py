@@ -55,12 +55,17 @@ def match_names(names: DataFrame, aliases: DataFrame, name: str = "name") -> Dat
         distinct.withColumn("name_key", fold_entity_name(F.col("name")))
         .join(lookup(exact), "name", "left").join(lookup(by_key), "name_key", "left")
     )
-    rest = looked.where(F.col("_exact").isNull() & F.col("_same").isNull()).select(
-        F.when(F.col("name_key") == "", F.lower("name")).otherwise(F.col("name_key")).alias("_fk"))
-    fuzzy = fuzzy_scores(rest, aliases, "_fk").select("_fk", F.col("canonical").alias("_near"), "score")
-    fk = F.when(F.col("name_key") == "", F.lower("name")).otherwise(F.col("name_key"))
-    joined = looked.withColumn("_fk", F.when(F.col("_exact").isNull() & F.col("_same").isNull(), fk)).join(
-        fuzzy, "_fk", "left")
+    # Distinct names with their equality results: read by the fuzzy tier and the result.
+    looked = materialize(looked, "names")
+    left_over = F.col("_exact").isNull() & F.col("_same").isNull()
+    looked = looked.withColumn("_fk", F.when(left_over, F.when(
+        F.col("name_key") == "", F.lower("name")).otherwise(F.col("name_key"))))
+    rest = looked.where(left_over).select("_fk")
+    if rest.isEmpty():
+        joined = looked.withColumns({"_near": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+    else:
+        fuzzy = fuzzy_scores(rest, aliases, "_fk").select("_fk", F.col("canonical").alias("_near"), "score")
+        joined = looked.join(fuzzy, "_fk", "left")
     hit = F.coalesce("_exact", "_same", "_near")
     return joined.select(
         "name",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import lookup
+from ..scale import lookup, materialize
 
 SHORT = 5
 
@@ -45,6 +45,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     right_grams = b.select(right_key, "_n", F.explode(_grams(F.col("_b"), 2)).alias("_g")).unionByName(
         b.where(F.col("_n") <= SHORT * 3 // 2).select(
             right_key, "_n", F.explode(_grams(F.col("_b"), 1)).alias("_g")))
+    # The catalog side is small and read twice; written once, its size is known.
+    right_grams = materialize(right_grams, "grams")
     frequency = right_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
 
     size = F.when(F.col("_m") > SHORT, _grams(F.col("_a"), 2)).otherwise(_grams(F.col("_a"), 1))

@@ -63,10 +63,14 @@ def classify(products: DataFrame, taxonomy: DataFrame) -> DataFrame:
     Needs product_id, mpn, description, product_type, extracted_terms. The strong tiers run
     once per distinct type; only products left over build their text blob.
     """
-    labels = taxonomy_labels(taxonomy)
-    typed = products.withColumn("_type", display_text(F.col("product_type"))).withColumn(
-        "type_key", fold_entity_name(F.col("_type")))
-    strong = materialize(match_types(typed, labels), "type-matches")
+    labels = materialize(taxonomy_labels(taxonomy), "labels")
+    # Distinct types are folded once and written; each tier and the products read them.
+    types = products.select("product_type").where(F.col("product_type").isNotNull()).distinct().withColumn(
+        "_type", display_text(F.col("product_type")))
+    types = materialize(types.withColumn("type_key", fold_entity_name(F.col("_type"))), "types")
+    strong = materialize(match_types(types, labels), "type-matches")
+    typed = products.join(lookup(types), "product_type", "left").withColumn(
+        "type_key", F.coalesce("type_key", F.lit("")))
     found = typed.join(lookup(strong), "type_key", "left")
 
     rest = found.where(F.col("node").isNull()).select("product_id", "type_key", "product_type",
@@ -76,6 +80,8 @@ def classify(products: DataFrame, taxonomy: DataFrame) -> DataFrame:
     query = F.array_join(F.filter(F.transform(parts, strip), lambda p: F.coalesce(p != "", F.lit(False))), " ")
     rest = rest.withColumn("_query", query).withColumn(
         "blob", F.trim(F.concat_ws(" ", "type_key", fold_entity_name(F.col("_query")))))
+    # Read by both weak tiers and the final join.
+    rest = materialize(rest.drop("_query", "extracted_terms", "description", "mpn"), "unmatched")
     keyword = contained_labels(rest, labels, "blob", "label_key").join(lookup(labels), "label_key").select(
         "blob", "node", "position", F.lit(0).alias("step"), F.lit("keyword").alias("method"))
     blobs = rest.select("type_key", "blob").distinct()
