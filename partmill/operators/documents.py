@@ -13,14 +13,21 @@ from ..functions.embedding import cosine, dot, hash_vector
 from ..functions.html import read_page, split_chunks
 from ..functions.text import appears_in, has_text, strip
 from ..functions.values import is_spec_type_code, stage, with_title_candidates
+from ..scale import planned_bytes
 from .evidence import expand_template
 from .normalization import Vocabulary, approved_type_from_title
 
 
+SMALL_INPUT = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give Python stages enough tasks when a small input arrived in few partitions."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    """Give Python stages enough tasks when the input is small and arrives in few partitions;
+    a large input already has many and is left alone."""
+    planned = planned_bytes(df)
+    if planned is None or planned > SMALL_INPUT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def extract_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

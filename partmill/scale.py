@@ -32,7 +32,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _planned_bytes(df: DataFrame) -> int | None:
+def planned_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate; no job runs."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
         return int(stats.sizeInBytes().toString())
@@ -48,7 +49,7 @@ def lookup(dim: DataFrame, max_rows: int = MAX_LOOKUP_ROWS, max_bytes: int = MAX
     becomes a shuffled one that AQE may still split or convert. Meant for dimensions and
     written tables: the probe runs the input's plan.
     """
-    planned = _planned_bytes(dim)
+    planned = planned_bytes(dim)
     if planned is not None and planned <= SURE_BYTES:
         return F.broadcast(dim)
     probe = dim.limit(max_rows + 1).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..constants import INTAKE_COLUMNS, JSON_KEY_ALIASES
 from ..functions.text import blank_to_null, has_text, is_placeholder_brand, strip
-from ..scale import lookup
+from ..scale import lookup, materialize
 
 FIELDS = list(INTAKE_COLUMNS)
 
@@ -43,6 +43,8 @@ def with_file_position(df: DataFrame, out: str = "row_position") -> DataFrame:
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    # Written once: deciding how to join it must not scan the input again.
+    blocks = materialize(blocks, "blocks")
     return (
         tagged.join(lookup(blocks), ["_file", "_block"])
         .withColumn(out, F.col("_before") + F.col("_mid") - F.col("_first") + 1)
@@ -147,7 +149,11 @@ def duplicated_part_numbers(products: DataFrame, existing: DataFrame | None = No
     """Part numbers that repeat in the batch or are already stored."""
     counts = products.groupBy("mpn").agg(F.count(F.lit(1)).alias("copies"))
     if existing is not None:
-        stored = existing.select("mpn").distinct().withColumn("stored", F.lit(True))
+        # The history is only filtered by the batch's numbers, never shuffled whole while
+        # those are few.
+        counts = materialize(counts, "batch-numbers")
+        stored = existing.select("mpn").join(lookup(counts.select("mpn")), "mpn", "left_semi").distinct()
+        stored = stored.withColumn("stored", F.lit(True))
         counts = counts.join(stored, "mpn", "left")
     else:
         counts = counts.withColumn("stored", F.lit(False))
