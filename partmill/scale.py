@@ -36,7 +36,7 @@ def planned_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate; no job runs."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        return int(str(stats.sizeInBytes()))
     except Exception:
         return None
 
