@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import sqltexts
 from .block_naming import exact_groups
@@ -13,7 +12,11 @@ from .common import table
 from .decontaminate import contamination
 from .extendible_shards import assign_shards
 from .mixing import mix
+from .near_dedup import near_duplicates
+from .rlz_dedup import dedup_substrings, digest
 from .secret_index import BASE_RULES, MORE_RULES, secret_report
+from .subword_quality import quality
+from .toxicity import toxicity
 from .url_reputation import WIDE_SUFFIXES, filter_urls, outcomes_by_document
 
 SHARD_BYTES = 16 << 20
@@ -25,6 +28,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, outcomes_by_document(pages, labels))
 
 
+def op2_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -33,6 +40,10 @@ def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return assign_shards(docs, SHARD_BYTES).select("doc_id", "shard", "shard_depth", "doc_bytes", "shard_bytes", "shard_docs", "fits")
@@ -46,13 +57,25 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("k1", "k2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
+    "op2_rlz_substrings": op2_rlz_substrings,
     "op3_block_naming": op3_block_naming,
     "op4_trigram_secrets": op4_trigram_secrets,
+    "op5_subword_quality": op5_subword_quality,
     "op6_extendible_shards": op6_extendible_shards,
     "op7_decontamination": op7_decontamination,
     "op8_source_mix": op8_source_mix,
+    "op9_weak_toxicity": op9_weak_toxicity,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 
