@@ -2,8 +2,7 @@
 
 Voters look at a text and fire or stay silent. Some are lexicons of insults by language and theme,
 some are patterns (shouting, disguised words, direct address with an insult), and some are
-lexicons mined from a bounded sample of labelled rows: words and word beginnings that occur almost
-only in toxic texts, dealt to several voters.
+lexicons mined from a bounded sample of labelled rows: words and frequent word beginnings that occur almost only in toxic texts, dealt to several voters.
 
 A generative label model with two classes explains all votes of all documents: per voter the
 chance to fire in either class, per class the correlations of voters. It is fitted by expectation
@@ -46,7 +45,7 @@ LEXICONS = {
     "en_disgust": "disgusting gross vile nasty repulsive revolting disgrace disgraceful sickening hideous ugly",
     "en_ridicule": "clown clowns joke laughable ridiculous crybaby coward cowards liar liars hypocrite creep freak weirdo",
     "en_curse": "damn damned crap bastard bitch asshole ass shit bullshit fuck fucking fucker dick prick jerk whore slut",
-    "en_threat": "kill murder die hate hang burn destroy beat smash choke",
+    "en_threat": "kill murder hate hang burn destroy beat smash choke",
     "fr": "idiot idiote imbécile stupide crétin débile abruti ordure salaud salope connard connasse con conne merde pourri raté nul minable",
     "de": "idiot dumm dummkopf blöd trottel depp arschloch scheiße mist versager abschaum dreck schwachkopf widerlich wertlos hure",
     "es": "idiota estúpido estúpida imbécil tonto tonta basura escoria mierda cabrón puta asqueroso asquerosa inútil perdedor payaso",
@@ -57,17 +56,26 @@ PATTERNS = {
     "disguised": r"\b[a-z]{1,3}[*@#$]{1,4}[a-z]{1,4}\b",
     "address": r"\b(?:[Yy]ou(?: are|'re)|[Dd]u bist|[Tt]u es|[Ee]res)\s+(?:such |so |all |just |nothing |ein |une? |an? |el |la )",
 }
-MINED = 12          # voters that share the mined entries
-HEADS = (4, 5)      # lengths of word beginnings
+MARKS = ("", "!?", "*@#$", "")  # a text without any of these characters needs no search for the pattern
+MINED = 12            # voters that share the mined entries
+HEADS = (4, 5, 6, 7)  # lengths of word beginnings
+DENSE = 0.008         # share of all words from which a beginning counts as frequent
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str) -> set[str]:
-    """Distinct lower-case words of a text, and the beginnings of the longer ones, marked by a dash."""
-    words = set(_WORD.findall(text.lower()))
+    """Distinct lower-case words of a text, and the word beginnings that at least two words and a
+    `DENSE` share of all words have, marked by a plus. (A single beginning says little in a long text.)"""
+    words = _WORD.findall(text.lower())
     out = set(words)
-    for n in HEADS:
-        out.update([w[:n] + "-" for w in words if len(w) > n + 1])
+    least = max(2, DENSE * len(words))
+    for n in HEADS:  # a frequent beginning has frequent beginnings itself
+        heads = Counter([w[:n] for w in words if len(w) > n])
+        frequent = {h for h, c in heads.items() if c >= least}
+        if not frequent:
+            break
+        out.update([h + "+" for h in frequent])
+        words = [w for w in words if w[:n] in frequent]
     return out
 
 
@@ -85,8 +93,8 @@ class Voters:
         for j, lexicon in enumerate(self.lexicons):
             if not lexicon.isdisjoint(found):
                 out |= 1 << j
-        for j, pattern in enumerate(self.patterns, len(self.lexicons)):
-            if pattern.search(text):
+        for j, (pattern, marks) in enumerate(zip(self.patterns, MARKS), len(self.lexicons)):
+            if (not marks or any(c in text for c in marks)) and pattern.search(text):
                 out |= 1 << j
         return out
 
@@ -105,17 +113,27 @@ def _counts(texts: list[str], labels: list[float]) -> tuple[Counter, Counter, fl
     return toxic, clean, a, b
 
 
-def make_voters(sample: list[tuple[str, int]], voters: int = MINED, least: int = 2, precision: float = 0.95) -> Voters:
-    """Fixed voters and those mined from labelled texts."""
+def evidence(x: float, y: float, a: float, b: float) -> float:
+    """Log likelihood ratio of a term seen in x of a toxic and y of b clean texts against one rate for
+    both; negative where it leans to the clean class."""
+    n, share = x + y, a / (a + b)
+    ratio = (x * np.log(x / (n * share)) if x else 0.0) + (y * np.log(y / (n * (1 - share))) if y else 0.0)
+    return float(ratio if x / a >= y / b else -ratio)
+
+
+def make_voters(sample: list[tuple[str, int]], voters: int = MINED, least: float = 9.0, precision: float = 0.9) -> Voters:
+    """Fixed voters and those mined from labelled texts: terms with enough evidence and precision."""
     toxic, clean, a, b = _counts([t for t, _ in sample], [y for _, y in sample])
     mined = []
     if a and b:
         for term, n in toxic.items():
             rate, other = n / a, clean.get(term, 0) / b
-            if n >= least and rate >= precision * (rate + other + 0.1 / b):
+            if n >= 2 and rate >= precision * (rate + other) and evidence(n, clean.get(term, 0), a, b) >= least:
                 mined.append((-n, term))
     mined.sort()
-    dealt = [frozenset(t for _, t in mined[j::voters]) for j in range(voters)]
+    heads, words = [t for _, t in mined if t.endswith("+")], [t for _, t in mined if not t.endswith("+")]
+    few = voters // 3
+    dealt = [frozenset(heads[j::few]) for j in range(few)] + [frozenset(words[j::voters - few]) for j in range(voters - few)]
     fixed = [frozenset(x.split()) for x in LEXICONS.values()]
     return Voters(tuple([*fixed, *(d for d in dealt if d)]), tuple(re.compile(p) for p in PATTERNS.values()))
 
@@ -124,13 +142,14 @@ def make_voters(sample: list[tuple[str, int]], voters: int = MINED, least: int =
 class LabelModel:
     prior: float
     fire: np.ndarray    # 2 x voters: chance to fire in the clean and in the toxic class
-    weight: np.ndarray  # share of a voter's evidence that counts, 1 without correlations
+    weight: np.ndarray  # 2 x voters: share of a voter's silence and of its vote that counts, 1 without correlations
 
     def posterior(self, bits: np.ndarray) -> np.ndarray:
         """Chance of the toxic class for each row of votes (rows x voters, 0 or 1)."""
         on = np.log(self.fire[1]) - np.log(self.fire[0])
         off = np.log(1 - self.fire[1]) - np.log(1 - self.fire[0])
-        logit = np.log(self.prior) - np.log(1 - self.prior) + bits @ (self.weight * (on - off)) + (self.weight * off).sum()
+        on, off = on * self.weight[1], off * self.weight[0]
+        logit = np.log(self.prior) - np.log(1 - self.prior) + bits @ (on - off) + off.sum()
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
@@ -148,12 +167,12 @@ def start(voters: Voters, sample: list[tuple[str, int]]) -> LabelModel:
         for y in (0, 1):
             mine = bits[labels == y]
             fire[y] = (mine.sum(0) + 0.5 * (0.3 if y else 0.02)) / (len(mine) + 0.5)
-    return LabelModel(0.1, np.clip(fire, 1e-4, 1 - 1e-4), np.ones(m))
+    return LabelModel(0.1, np.clip(fire, 1e-4, 1 - 1e-4), np.ones((2, m)))
 
 
 def _sums(counted: DataFrame, model: LabelModel, pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Expected counts over all documents: per class, per voter, and per pair of voters."""
-    m = len(model.weight)
+    m = model.fire.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 + 2 * m + (2 * m * m if pairs else 0))
@@ -175,10 +194,10 @@ def _sums(counted: DataFrame, model: LabelModel, pairs: bool) -> tuple[np.ndarra
     return total[:2], total[2:2 + 2 * m].reshape(2, m), both
 
 
-def _refit(model: LabelModel, classes: np.ndarray, fired: np.ndarray) -> LabelModel:
-    """Maximisation, with the former rates as a small prior."""
-    held = 5.0
-    fire = (fired + held * model.fire) / (classes[:, None] + held)
+def _refit(model: LabelModel, first: LabelModel, classes: np.ndarray, fired: np.ndarray, trust: float = 1.0) -> LabelModel:
+    """Maximisation. The first rates, from labels, stay in with the weight `trust` of all documents, so
+    that a common habit which is not toxicity cannot take over the class."""
+    fire = (fired + trust * classes[:, None] * first.fire) / np.maximum((1 + trust) * classes[:, None], 1e-9)
     prior = float(np.clip((classes[1] + 1) / (classes.sum() + 10), 1e-4, 0.5))
     return LabelModel(prior, np.clip(fire, 1e-4, 1 - 1e-4), model.weight)
 
@@ -194,17 +213,19 @@ def correlations(classes: np.ndarray, fired: np.ndarray, both: np.ndarray) -> np
 
 def fit_label_model(counted: DataFrame, model: LabelModel, rounds: int = 3) -> LabelModel:
     """Expectation maximisation over counted vote patterns (votes, n); correlations once, in between."""
+    first = model
     for _ in range(rounds):
         classes, fired, _none = _sums(counted, model, False)
-        model = _refit(model, classes, fired)
+        model = _refit(model, first, classes, fired)
     classes, fired, both = _sums(counted, model, True)
     linked = np.clip(correlations(classes, fired, both), 0, 1)
     for y in (0, 1):
         np.fill_diagonal(linked[y], 0)
     linked[linked < 0.1] = 0
-    model = LabelModel(model.prior, model.fire, 1 / (1 + linked.max(0).sum(1)))
+    # Votes count double where voters err together in the clean class, silence where they miss together.
+    model = LabelModel(model.prior, model.fire, np.vstack((1 / (1 + linked[1].sum(1)), 1 / (1 + linked[0].sum(1)))))
     classes, fired, _none = _sums(counted, model, False)
-    return _refit(model, classes, fired)
+    return _refit(model, first, classes, fired)
 
 
 @dataclass(frozen=True)
@@ -218,28 +239,26 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
-def train_linear(texts: list[str], posterior: list[float], most: int = 20_000, epochs: int = 12, rate: float = 0.2, seed: int = 3) -> Linear:
-    """Logistic regression on the terms that tell the classes apart, against soft labels."""
+def train_linear(texts: list[str], posterior: list[float], most: int = 20_000, least: float = 9.0, epochs: int = 12, rate: float = 0.2, seed: int = 3) -> Linear:
+    """Logistic regression on the terms that tell the classes apart, against the posterior's
+    label, each row with the weight of how sure the posterior is."""
     toxic, clean, a, b = _counts(texts, posterior)
     share = (a + 0.5) / (a + b + 1)
     if not a or not b:
         return Linear({}, float(np.log(share / (1 - share))) if a + b else 0.0)
     kept = []
     for term in set(toxic) | set(clean):
-        x, y = toxic.get(term, 0), clean.get(term, 0)
-        if x + y < 2:
-            continue
-        p, q = x / a, y / b
-        z = (p - q) / np.sqrt((p * (1 - p) + 0.25 / a) / a + (q * (1 - q) + 0.25 / b) / b)
-        if abs(z) > 2 and (z > 3 or x >= 2 and not y or abs(z) > 4):
-            kept.append((-abs(z), term))
+        g = evidence(toxic.get(term, 0), clean.get(term, 0), a, b)
+        if abs(g) >= least:
+            kept.append((-abs(g), term))
     kept = [t for _, t in sorted(kept)[:most]]
     place = {t: i for i, t in enumerate(kept)}
     rows = [np.array(sorted(place[t] for t in place.keys() & terms(text)), np.int64) for text in texts]
     w, bias = np.zeros(len(kept)), 0.0
     rng = np.random.default_rng(seed)
-    goal = np.array(posterior)
-    cost = np.where(goal > 0.5, 0.5 / share, 0.5 / (1 - share))
+    sure = np.array(posterior)
+    goal = (sure > 0.5).astype(np.float64)
+    cost = np.where(goal > 0.5, 0.5 / share, 0.5 / (1 - share)) * np.maximum(0.2, np.abs(2 * sure - 1))
     for epoch in range(epochs):
         step = rate / (1 + 0.3 * epoch)
         for i in rng.permutation(len(rows)):
