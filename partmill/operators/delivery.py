@@ -58,7 +58,8 @@ def document_links(sources: DataFrame) -> DataFrame:
 def attribute_cells(products: DataFrame, template: DataFrame, attributes: DataFrame) -> DataFrame:
     """(product_id, slot, label, value, uom): template slots first, leftovers after them.
 
-    slot is null for a spare label kept only for lookup; slot > 50 marks an overflow.
+    Every attribute with a value gets a slot; slots past the last one of the contract are an
+    overflow, which `slot_overflow` reports and which fails the run.
     """
     value = F.when((F.col("agreement") == "NOT_FOUND") | (F.coalesce("normalized_value", F.lit("")) == ""), "").otherwise(
         text(F.col("normalized_value")))
@@ -77,25 +78,34 @@ def attribute_cells(products: DataFrame, template: DataFrame, attributes: DataFr
         "product_id", F.when(F.col("_k"), F.col("_p")).otherwise(DEFAULT_CLASSPATH).alias("classpath")).join(
         lookup(sizes), "classpath", "left").select("product_id", F.coalesce("template_size", F.lit(0)).alias("template_size"))
     order = Window.partitionBy("product_id").orderBy("attribute_id")
-    # One row beyond the last slot is enough to flag an overflow; the run then fails whole.
-    spare = met.where(F.col("slot").isNull() & (F.col("value") != "")).withColumn(
-        "_n", F.row_number().over(order)).where(F.col("_n") <= SLOT_COUNT + 1)
+    spare = met.where(F.col("slot").isNull() & (F.col("value") != "")).withColumn("_n", F.row_number().over(order))
     spare = spare.join(size, "product_id").select(
         "product_id", (F.col("_n") + F.col("template_size")).cast("int").alias("slot"), "label", "value", "uom")
     return inside.unionByName(spare)
 
 
+OVERFLOW = "attributes_left_out"  # of a delivery row: how many attributes found no slot
+
+
+def overflow_problem(left_out):
+    return F.concat(left_out.cast("string"), F.lit(f" attributes do not fit into {SLOT_COUNT} slots"))
+
+
 def slot_overflow(cells: DataFrame) -> DataFrame:
-    return cells.where(F.col("slot") > SLOT_COUNT).select(
-        "product_id", F.lit("Too many attributes to fit the expected output slots").alias("problem")).distinct()
+    """(product_id, problem) of every product with more attributes than slots."""
+    over = cells.where(F.col("slot") > SLOT_COUNT).groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    return over.select("product_id", overflow_problem(F.col("n")).alias("problem"))
 
 
 def pivot_slots(cells: DataFrame) -> DataFrame:
-    """EAV -> one map per product (at most 51 entries): one shuffle instead of 150 conditional maxima."""
+    """EAV -> one map per product (at most 50 entries) and the number of cells past the last slot:
+    one shuffle instead of 150 conditional maxima, and bounded memory however many attributes a product has."""
     entry = F.struct(F.col("label").alias("label"), F.col("value").alias("value"), F.col("uom").alias("uom"))
+    inside = F.col("slot") <= SLOT_COUNT
     return cells.groupBy("product_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), entry))).alias("slots"),
-        F.map_from_entries(F.collect_list(F.struct("label", entry))).alias("by_label"))
+        F.map_from_entries(F.collect_list(F.when(inside, F.struct(F.col("slot").cast("int"), entry)))).alias("slots"),
+        F.map_from_entries(F.collect_list(F.when(inside, F.struct("label", entry)))).alias("by_label"),
+        F.count_if(~inside).alias(OVERFLOW))
 
 
 def slot_values(pivoted: DataFrame, n: int = SLOT_COUNT) -> list:
@@ -129,7 +139,8 @@ def run_counts(eligible: DataFrame, errors: DataFrame | None = None) -> DataFram
 
 def assemble(products: DataFrame, entities: DataFrame, classifications: DataFrame, sources: DataFrame,
              attributes: DataFrame, template: DataFrame, validations: DataFrame | None = None) -> DataFrame:
-    """Delivery rows (product_id plus the contract columns), 1:1 tables joined on product_id.
+    """Delivery rows (product_id, the number of attributes without a slot, and the contract columns),
+    1:1 tables joined on product_id. Rows with attributes left out fail the run.
 
     entities: product_id, brand_canonical, brand_candidate, manufacturer_canonical,
     manufacturer_candidate. attributes: EAV rows with attribute_id.
@@ -165,7 +176,7 @@ def assemble(products: DataFrame, entities: DataFrame, classifications: DataFram
     for label, (v, u) in NAMED_DIMENSIONS.items():
         values[v], values[u] = F.col("by_label")[label]["value"], F.col("by_label")[label]["uom"]
     slots = dict(zip([c for i in range(1, SLOT_COUNT + 1) for c in slot_columns(i)], slot_values(df)))
-    return df.select("product_id", *[
+    return df.select("product_id", F.coalesce(OVERFLOW, F.lit(0).cast("long")).alias(OVERFLOW), *[
         (slots[c] if c in slots else F.coalesce(values.get(c, F.lit("")), F.lit(""))).alias(c) for c in delivery_columns()])
 
 
@@ -190,11 +201,12 @@ def provenance(attributes: DataFrame, sources: DataFrame) -> DataFrame:
 
 def freeze(delivery: DataFrame) -> DataFrame:
     """Exact contract columns in order, strings only, no nulls; extra or missing columns fail."""
-    want, have = delivery_columns(), [c for c in delivery.columns if c != "product_id"]
+    beside = ("product_id", OVERFLOW)
+    want, have = delivery_columns(), [c for c in delivery.columns if c not in beside]
     if sorted(want) != sorted(have):
         raise ValueError("delivery columns differ from the contract: "
                          f"missing {sorted(set(want) - set(have))}, extra {sorted(set(have) - set(want))}")
-    keep = ["product_id"] if "product_id" in delivery.columns else []
+    keep = [c for c in beside if c in delivery.columns]
     return delivery.select(*keep, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in want])
 
 
@@ -238,7 +250,7 @@ def expand_families(slots: DataFrame, template: DataFrame) -> DataFrame:
 
 
 def row_violations(delivery: DataFrame) -> DataFrame:
-    """Empty required fields and part numbers delivered twice.
+    """Empty required fields, part numbers delivered twice, and attributes without a slot.
 
     Repeated part numbers are found by count, not by gathering their rows.
     """
@@ -249,7 +261,11 @@ def row_violations(delivery: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("product_id").alias("first_id")).where("n > 1")
     twice = repeated.select(F.col("first_id").alias("product_id"), F.lit(0).alias("slot"),
                             F.concat(F.lit("Duplicate output row for MPN "), F.col("mpn")).alias("problem"))
-    return empty.unionByName(twice)
+    found = empty.unionByName(twice)
+    if OVERFLOW in delivery.columns:
+        over = delivery.where(F.col(OVERFLOW) > 0)
+        found = found.unionByName(over.select("product_id", F.lit(0).alias("slot"), overflow_problem(F.col(OVERFLOW)).alias("problem")))
+    return found
 
 
 def violations(delivery: DataFrame, template: DataFrame, vocab: Vocabulary | None) -> DataFrame:

@@ -30,14 +30,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def extract_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Adds title, content and links; other columns pass through (one Arrow pass)."""
+def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", max_links: int | None = None) -> DataFrame:
+    """Adds title, content and links; other columns pass through (one Arrow pass). All links of a
+    page are returned unless `max_links` is given."""
     keep = [c for c in pages.columns if c != html]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            read = [read_page(h, u) for h, u in zip(batch[html], batch[url])]
+            read = [read_page(h, u, max_links) for h, u in zip(batch[html], batch[url])]
             out = batch[keep].copy()
             for name in ("title", "content", "links"):
                 out[name] = [r[name] for r in read]
@@ -75,12 +76,13 @@ def content_hash(c):
 
 
 def index_documents(best_sources: DataFrame, pages: DataFrame, context: DataFrame,
-                    existing: DataFrame | None = None) -> dict[str, DataFrame]:
+                    existing: DataFrame | None = None, max_title: int | None = None) -> dict[str, DataFrame]:
     """Build chunk rows for each product's best manufacturer page.
 
     `pages` has url, title, content, links. A product whose stored content is unchanged is
     skipped. Returns status rows, new documents and new chunks; the chunks replace all
-    earlier chunks of their products (see StageStore.replace).
+    earlier chunks of their products (see StageStore.replace). Titles are kept whole unless
+    `max_title` gives the width of the column they go to.
     """
     joined = best_sources.select("product_id", "source_id", "url", "source_type", "content_type").join(
         pages.select("url", "title", "content", "links"), "url", "left")
@@ -97,7 +99,7 @@ def index_documents(best_sources: DataFrame, pages: DataFrame, context: DataFram
     status = joined.select("product_id", "source_id", "url", "index_status")
     documents = joined.where("index_status = 'INDEXED'").select(
         "product_id", "source_id", "url", "source_type", "content_type",
-        F.substring("title", 1, 512).alias("document_title"), "content", "links", "hash")
+        (F.col("title") if max_title is None else F.substring("title", 1, max_title)).alias("document_title"), "content", "links", "hash")
     chunks = chunk_documents(documents.drop("links", "hash"))
     chunks = chunks.withColumn("vector", hash_vector(F.col("chunk_text"))).join(
         context.select("product_id", "mpn", "brand", "manufacturer"), "product_id", "left")

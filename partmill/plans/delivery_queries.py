@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from ..constants import SLOT_COUNT, delivery_columns, slot_columns
 from ..operators import delivery
-from ..scale import scratch_path
+from ..scale import materialize, scratch_path
 from ..sources.delivery_sink import write_delivery
 from . import dims
-from . import sqltext as q
 from .fixtures import Tables
 from .registry import query
 
 NEEDS = "listed extracted template product_sources"
-# Stored attributes: the extracted rows plus two labels outside the template.
-ATTRS = """SELECT attribute_id, product_id, label, value AS normalized_value, CASE WHEN uom IS NOT NULL THEN 'in' END AS normalized_uom, CASE WHEN product_id % 15 = 0 AND label = 'Width' THEN 'NOT_FOUND' ELSE 'AGREEMENT' END AS agreement FROM extracted
-UNION ALL SELECT p_partkey * 10 + 5, p_partkey, 'Colour', split_part(p_name, ' ', 1), NULL, 'AGREEMENT' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey * 10 + 6, p_partkey, 'Finish', p_type, NULL, 'AGREEMENT' FROM part WHERE p_partkey % 3 = 0"""
+# Stored attributes: the extracted rows plus two labels outside the template; of every sixty products, three have
+# so many more that they fill all 50 slots, one too many, and ten too many.
+MANY = "SELECT p_partkey AS n, 1 AS turn FROM part WHERE p_partkey BETWEEN 1 AND 45 UNION ALL SELECT p_partkey, 5 FROM part WHERE p_partkey BETWEEN 1 AND 46 UNION ALL SELECT p_partkey, 7 FROM part WHERE p_partkey BETWEEN 1 AND 55"
+ATTRS = f"""SELECT attribute_id, product_id, label, value AS normalized_value, CASE WHEN uom IS NOT NULL THEN 'in' END AS normalized_uom, CASE WHEN product_id % 15 = 0 AND label = 'Width' THEN 'NOT_FOUND' ELSE 'AGREEMENT' END AS agreement FROM extracted
+UNION ALL SELECT p_partkey * 10 + 5, p_partkey, 'Colour', split_part(p_name, ' ', 1), NULL, 'AGREEMENT' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey * 10 + 6, p_partkey, 'Finish', p_type, NULL, 'AGREEMENT' FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey * 1000 + 100 + n, p_partkey, 'Extra ' || CAST(n AS STRING), 'value ' || CAST(n AS STRING), NULL, 'AGREEMENT' FROM part JOIN ({MANY}) m ON turn = p_partkey % 60"""
 CELLS = f"""attrs AS ({ATTRS}), base AS (SELECT product_id, classpath FROM listed),
 cells AS (SELECT b.product_id, t.position AS slot, t.label, CASE WHEN a.agreement = 'NOT_FOUND' THEN '' ELSE coalesce(a.normalized_value, '') END AS value, CASE WHEN a.agreement = 'NOT_FOUND' OR coalesce(a.normalized_value, '') = '' THEN '' ELSE coalesce(a.normalized_uom, '') END AS uom
   FROM base b CROSS JOIN template t LEFT JOIN attrs a ON a.product_id = b.product_id AND a.label = t.label
@@ -105,11 +107,11 @@ def record_sql() -> str:
         set_cols[c] = f"coalesce((SELECT min_by(url, source_id) FROM product_sources s WHERE s.product_id = x.product_id AND content_type = '{k}'), '')"
     slots = {c: f'p."{c}"' for i in range(1, SLOT_COUNT + 1) for c in slot_columns(i)}
     cols = ", ".join(f"{slots.get(c, set_cols.get(c, chr(39) * 2))} AS \"{c}\"" for c in delivery_columns())
-    return f"""WITH {CELLS}, {URLS}, piv AS (SELECT product_id, {pivot_sql(SLOT_COUNT)} FROM cells GROUP BY product_id),
+    return f"""WITH {CELLS}, {URLS}, piv AS (SELECT product_id, count(*) FILTER (slot > {SLOT_COUNT}) AS left_out, {pivot_sql(SLOT_COUNT)} FROM cells GROUP BY product_id),
 y AS (SELECT l.*, CASE WHEN l.product_id % 3 > 0 THEN p_brand ELSE 'Described' END AS b, CASE WHEN l.product_id % 5 = 0 THEN 'Guess Co' ELSE coalesce(manufacturer, '') END AS m, {cell('Product Type', 'value')} AS pt,
   {cell('Width', 'value')} AS w, {cell('Width', 'uom')} AS wu, {cell('Length', 'value')} AS n, {cell('Length', 'uom')} AS nu FROM listed l JOIN part ON p_partkey = l.product_id),
 x AS (SELECT *, CASE WHEN w <> '' AND n <> '' THEN trim(w || ' ' || wu) || ' x ' || trim(n || ' ' || nu) WHEN w <> '' THEN trim(w || ' ' || wu) ELSE '' END AS sz FROM y)
-SELECT x.product_id, {cols} FROM x LEFT JOIN urls u ON u.product_id = x.product_id JOIN piv p ON p.product_id = x.product_id"""
+SELECT x.product_id, p.left_out AS attributes_left_out, {cols} FROM x LEFT JOIN urls u ON u.product_id = x.product_id JOIN piv p ON p.product_id = x.product_id"""
 
 
 @query("joi_20_final_record", NEEDS, record_sql())
@@ -122,7 +124,7 @@ def final_record(t: Tables):
 def contract_freeze(t: Tables):
     """OUT-03: exact header, no nulls."""
     frozen = delivery.freeze(assembled(t))
-    cols = frozen.columns[1:]
+    cols = [c for c in frozen.columns if c not in ("product_id", delivery.OVERFLOW)]
     nulls = F.lit(0)
     for c in cols:
         nulls = nulls + F.col(f"`{c}`").isNull().cast("int")
@@ -150,15 +152,18 @@ def slot_violations(t: Tables):
     return delivery.slot_violations(t.sql(SLOTS), dims.template(t), dims.vocabulary(t))
 
 
-@query("out_05_run_gate", "products", """
-SELECT 'duplicate' AS kind, min(product_id) AS product_id FROM products WHERE trim(mpn) <> '' GROUP BY trim(mpn) HAVING count(*) > 1
+@query("out_05_run_gate", f"products {NEEDS}", f"""WITH {CELLS}
+SELECT 'overflow' AS kind, product_id, count(*) || ' attributes do not fit into {SLOT_COUNT} slots' AS detail FROM cells WHERE slot > {SLOT_COUNT} GROUP BY product_id
+UNION ALL SELECT kind, product_id, '' FROM (SELECT 'duplicate' AS kind, min(product_id) AS product_id FROM products WHERE trim(mpn) <> '' GROUP BY trim(mpn) HAVING count(*) > 1
 UNION ALL SELECT 'duplicate', min(product_id) FROM products WHERE trim(mpn) = '' HAVING count(*) > 1
-UNION ALL SELECT 'empty', product_id FROM products WHERE trim(mpn) = '' UNION ALL SELECT 'empty', product_id FROM products WHERE trim(description) = ''""")
+UNION ALL SELECT 'empty', product_id FROM products WHERE trim(mpn) = '' UNION ALL SELECT 'empty', product_id FROM products WHERE trim(description) = '') o""")
 def run_gate(t: Tables):
     """OUT-05: anything here fails the whole run."""
     rows = t.products.select("product_id", F.col("mpn").alias("Mfg_Part_Num"), F.col("description").alias("Part_Desc"))
     found = delivery.row_violations(rows)
-    return found.select(F.when(F.col("problem").startswith("Duplicate"), "duplicate").otherwise("empty").alias("kind"), "product_id")
+    kinds = found.select(F.when(F.col("problem").startswith("Duplicate"), "duplicate").otherwise("empty").alias("kind"), "product_id", F.lit("").alias("detail"))
+    over = delivery.slot_overflow(cells(t)).select(F.lit("overflow").alias("kind"), "product_id", F.col("problem").alias("detail"))
+    return kinds.unionByName(over)
 
 
 @query("agg_10_delivery_counts", "states verdicts product_reviews", """
@@ -171,20 +176,24 @@ def delivery_counts(t: Tables):
     return delivery.run_counts(delivery.eligibility(t.states, t.verdicts, t.product_reviews))
 
 
-@query("snk_02_delivery_csv", "listed", f"""WITH k AS (SELECT min(product_id) AS product_id, mpn FROM listed WHERE product_id % 5 > 0 GROUP BY mpn)
-SELECT l.mpn AS mfg_part_num, l.description AS part_desc, {q.compact('l.brand_1')} AS brand_key FROM listed l JOIN k ON k.product_id = l.product_id""")
+DELIVERED = f"""WITH rec AS ({record_sql()}),
+bad AS (SELECT product_id FROM rec WHERE attributes_left_out > 0 UNION ALL SELECT min(product_id) FROM rec GROUP BY "Mfg_Part_Num" HAVING count(*) > 1)
+SELECT (SELECT count(*) FROM bad) AS violations, {", ".join(f'"{c}"' for c in delivery_columns())} FROM rec WHERE product_id NOT IN (SELECT product_id FROM bad)"""
+
+
+@query("snk_02_delivery_csv", NEEDS, DELIVERED)
 def delivery_csv(t: Tables):
-    """SNK-02: validated rows written as CSV, swapped in and read back."""
-    first = t.listed.where("product_id % 5 > 0").groupBy("mpn").agg(F.min("product_id").alias("product_id")).select("product_id")
-    rows = assembled(t).join(first, "product_id", "left_semi")
-    for i in range(1, SLOT_COUNT + 1):
-        label, value, uom = slot_columns(i)
-        if i == 1:
-            rows = rows.withColumn(value, F.lit(""))
+    """SNK-02: all products fail as a whole, with every violation; without the products named there
+    the run writes, swaps in and reads back every column."""
+    rows = materialize(assembled(t), "assembled")
     path = scratch_path(t.spark, "delivery")
-    result = write_delivery(rows, path, dims.template(t), dims.vocabulary(t))
+    refused = write_delivery(rows, path, dims.template(t), dims.vocabulary(t))
+    good = rows
+    if refused["status"] != "COMPLETED":
+        good = rows.join(refused["violations"].select("product_id").distinct(), "product_id", "left_anti")
+    result = write_delivery(good, path, dims.template(t), dims.vocabulary(t))
     if result["status"] != "COMPLETED":
-        raise RuntimeError(str(result["errors"][:3]))
-    from ..functions.text import compact
+        raise RuntimeError(str(result["sample"][:3]))
     back = t.spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    return back.select(F.col("Mfg_Part_Num").alias("mfg_part_num"), F.col("Part_Desc").alias("part_desc"), compact(F.col("E1_Brand")).alias("brand_key"))
+    return back.select(F.lit(refused["error_count"]).cast("long").alias("violations"),
+                       *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in delivery_columns()])

@@ -144,7 +144,7 @@ def test_delivery_is_all_or_nothing(spark):
                         (delivery_row(Mfg_Part_Num="B", **{value: "1"}), "without a label")):
         target = scratch_path(spark, "bad")
         result = deliver(spark, [good, bad], target)
-        assert result["status"] == "OUTPUT_GENERATION_FAILED" and reason in result["errors"][0]
+        assert result["status"] == "OUTPUT_GENERATION_FAILED" and reason in result["sample"][0]
         assert not os.path.exists(target)
 
 
