@@ -28,15 +28,17 @@ def _towards_smallest(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every vertex has one smaller neighbour, or only larger ones: nothing is left to do."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b); root is the smallest node of its component."""
     stars = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
-    while True:
-        mark = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.sum(F.xxhash64("b", "a") % 998_244_353)).first()
-        if tuple(mark) == state or not mark[0]:
-            break
-        state = tuple(mark)
+    while not _is_star(stars):
         stars = materialize(_towards_smallest(_towards_smallest(stars, True), False), "stars")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
