@@ -138,9 +138,11 @@ def evidence_queries(products: DataFrame, template: DataFrame) -> DataFrame:
         " ", F.nullif("mpn", F.lit("")), F.nullif("fine", F.lit("")), F.array_join("_q", " ")).alias("query_text"))
 
 
-def retrieve_evidence(queries: DataFrame, chunks: DataFrame, k: int = EVIDENCE_TOP_K) -> DataFrame:
+def retrieve_evidence(queries: DataFrame, chunks: DataFrame, k: int = EVIDENCE_TOP_K,
+                      chunk_id: str = "chunk_index") -> DataFrame:
+    """The chunks of each product that come closest to its query; `chunk_id` orders equal scores."""
     asked = embed(queries, "query_text", "query_vector")
-    return search_chunks(asked, chunks, max(k, MIN_SEARCH_K), unit_vectors=True)
+    return search_chunks(asked, chunks, max(k, MIN_SEARCH_K), unit_vectors=True, chunk_id=chunk_id)
 
 
 def exactness(value, text):

@@ -57,7 +57,7 @@ def csv_scan(t: Tables):
 @query("src_02_json_scan", "valid_products", """
 SELECT product_id AS source_index, mpn, description, CASE WHEN brand_1 = '' THEN NULL ELSE brand_1 END AS brand_1, manufacturer, CAST(NULL AS STRING) AS error FROM valid_products
 UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, 'Mfg_Part_Num is missing; Part_Desc is missing' FROM events WHERE event_id % 3 > 0
-UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, 'row must be an object' FROM events WHERE event_id % 3 = 0""")
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'row must be an object' FROM events WHERE event_id % 3 = 0""")
 def json_scan(t: Tables):
     """SRC-02: JSON Lines with aliased, mixed-case keys, event payloads and non-objects."""
     path = scratch_path(t.spark, "json")
@@ -69,16 +69,9 @@ def json_scan(t: Tables):
     products.unionByName(payload).write.text(path)
     records = intake.read_product_json(t.spark, path, lines=True)
     checked = intake.validate_rows(records)
-    # Non-objects carry no index; their event id is the array's only element.
-    raw = t.spark.read.text(path)
-    plain = raw.where("value like '[%'").select(
-        F.regexp_extract("value", r"\d+", 0).cast("long").alias("source_index"))
-    named = checked.where("coalesce(error, '') <> 'row must be an object'").select(
-        "source_index", "mpn", "description", "brand_1", "manufacturer", "error")
-    none = F.lit(None).cast("string")
-    bad = plain.select("source_index", none.alias("mpn"), none.alias("description"), none.alias("brand_1"),
-                       none.alias("manufacturer"), F.lit("row must be an object").alias("error"))
-    return named.unionByName(bad)
+    # The index of a non-object is its line number, which depends on how the files were cut.
+    numbered = F.when(F.col("error").eqNullSafe("row must be an object"), None).otherwise(F.col("source_index"))
+    return checked.select(numbered.alias("source_index"), "mpn", "description", "brand_1", "manufacturer", "error")
 
 
 @query("src_03_dimension_load", "brand_alias taxonomy", """

@@ -12,17 +12,19 @@ from .registry import query
 
 
 @query("str_01_incremental_intake", "products", """
-WITH v AS (SELECT product_id, nullif(trim(mpn), '') AS mpn, nullif(trim(description), '') AS description FROM products), ok AS (SELECT * FROM v WHERE mpn IS NOT NULL AND description IS NOT NULL), n AS (SELECT mpn, count(*) AS c FROM ok GROUP BY mpn)
-SELECT product_id, ok.mpn, CASE WHEN c > 1 THEN 'DUPLICATE_CANDIDATE' ELSE 'INGESTED' END AS status FROM ok JOIN n ON n.mpn = ok.mpn
+WITH v AS (SELECT product_id, nullif(trim(mpn), '') AS mpn, nullif(trim(description), '') AS description FROM products), ok AS (SELECT *, CASE WHEN product_id % 20 = 19 OR product_id % 7 = 3 THEN 2 ELSE 1 END AS arrival FROM v WHERE mpn IS NOT NULL AND description IS NOT NULL),
+n AS (SELECT mpn, arrival, count(*) AS c FROM ok GROUP BY mpn, arrival)
+SELECT product_id, ok.mpn, CASE WHEN n.c > 1 OR e.c > 0 THEN 'DUPLICATE_CANDIDATE' ELSE 'INGESTED' END AS status FROM ok JOIN n ON n.mpn = ok.mpn AND n.arrival = ok.arrival LEFT JOIN n e ON e.mpn = ok.mpn AND e.arrival < ok.arrival
 UNION ALL SELECT product_id, mpn, 'INVALID' FROM v WHERE mpn IS NULL OR description IS NULL""")
 def incremental_intake(t: Tables):
-    """STR-01: two arrivals, each validated and marked against what is stored."""
+    """STR-01: two arrivals with copies within and across them, each validated and marked against what is stored."""
     base = scratch_path(t.spark, "stream")
     source, products, errors = f"{base}/in", f"{base}/products", f"{base}/errors"
     raw = t.products.select("product_id", (F.col("product_id") + 1).alias("row_position"), "mpn", "description",
                             "brand_1", "brand_2", "brand_3", "manufacturer")
-    # Copies of a part number arrive together, so marking never reaches back over a batch.
-    for arrival in ("product_id % 20 in (18, 19)", "product_id % 20 not in (18, 19)"):
+    # Most second copies of a part number arrive later than the first: marking reaches back over the batch.
+    later = "(product_id % 20 = 19 or product_id % 7 = 3)"
+    for arrival in (f"not {later}", later):
         raw.where(arrival).write.mode("append").parquet(source)
         stream = t.spark.readStream.schema(intake.RAW_SCHEMA).parquet(source)
         run = intake.incremental_intake(stream, products, errors, f"{base}/checkpoint").trigger(availableNow=True).start()

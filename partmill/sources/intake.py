@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +23,16 @@ class MissingColumnError(ValueError):
         super().__init__("CSV is missing required columns: " + ", ".join(missing))
 
 
-def _csv_header(spark: SparkSession, path: str) -> list[str]:
-    # Header only: no data row is read, and every column stays a string.
-    frame = (spark.read.option("header", True).option("multiLine", True)
-             .option("quote", '"').option("escape", '"').csv(path))
-    return frame.columns
+def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Header -> files that have it. Only the first line of every file comes to the driver."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    first = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("line")).orderBy("file").collect()
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in first:
+        names = next(csv.reader([row["line"].lstrip("\ufeff")]), [])
+        out.setdefault(tuple(n.strip() for n in names), []).append(unquote(row["file"]))
+    return out
 
 
 def with_file_position(df: DataFrame, out: str = "row_position") -> DataFrame:
@@ -53,25 +62,33 @@ def with_file_position(df: DataFrame, out: str = "row_position") -> DataFrame:
     )
 
 
-def read_product_csv(spark: SparkSession, path: str, columns: dict[str, str] = INTAKE_COLUMNS) -> DataFrame:
-    """All-string CSV scan; required headers are checked by name before any row is read."""
-    header = [c.lstrip("\ufeff").strip() for c in _csv_header(spark, path)]
-    missing = [c for c in columns.values() if c not in header]
-    if missing:
-        raise MissingColumnError(missing)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    raw = (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-        .option("multiLine", True).option("quote", '"').option("escape", '"')
-        .option("nullValue", "\u0000").option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    placed = with_file_position(raw)
-    index_name = next((c for c in ("index", "Index") if c in header), None)
-    picks = [F.col(f"c{header.index(name)}").alias(field) for field, name in columns.items()]
-    index = F.col(f"c{header.index(index_name)}") if index_name else F.lit(None).cast("string")
-    return placed.select("source_file", "row_position", index.alias("index_text"), *picks)
+def read_product_csv(spark: SparkSession, path: str, columns: dict[str, str] = INTAKE_COLUMNS,
+                     multi_line: bool = True) -> DataFrame:
+    """All-string CSV scan. Columns are taken by name, file by file: files may order theirs
+    differently. A required column that any file lacks fails the scan before a data row is read.
+
+    Values may span lines, so a file is one task; with `multi_line` off large files are split.
+    """
+    groups = csv_headers(spark, path)
+    missing = [c for c in columns.values() if any(c not in header for header in groups)]
+    if missing or not groups:
+        raise MissingColumnError(missing or list(columns.values()))
+    parts = []
+    for header, files in groups.items():
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+        raw = (
+            spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+            .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+            .option("nullValue", "\u0000").option("emptyValue", "")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .csv(files)
+        )
+        placed = with_file_position(raw)
+        index_name = next((c for c in ("index", "Index") if c in header), None)
+        picks = [F.col(f"c{header.index(name)}").alias(field) for field, name in columns.items()]
+        index = F.col(f"c{header.index(index_name)}") if index_name else F.lit(None).cast("string")
+        parts.append(placed.select("source_file", "row_position", index.alias("index_text"), *picks))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_product_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -46,6 +46,21 @@ def test_csv_missing_column(spark, tmp_path):
         intake.read_product_csv(spark, path)
 
 
+def test_csv_columns_follow_each_file(spark, tmp_path):
+    """Files may order their columns differently; a column that one file lacks fails the scan."""
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    row = ("A-1", "belt", "b1", "b2", "b3", "maker")
+    (folder / "a.csv").write_text(csv_text([row], HEADER))
+    (folder / "b.csv").write_text(csv_text([("other", *row[::-1])], ["Colour", *HEADER[::-1]]))
+    for multi_line in (True, False):
+        got = intake.read_product_csv(spark, str(folder), multi_line=multi_line)
+        assert {tuple(r[f] for f in intake.FIELDS) for r in got.collect()} == {row} and got.count() == 2
+    (folder / "c.csv").write_text(csv_text([], [h for h in HEADER if h != "Part_Desc"]))
+    with pytest.raises(intake.MissingColumnError, match="Part_Desc"):
+        intake.read_product_csv(spark, str(folder))
+
+
 def test_positions_over_blocks_of_one_file(spark, tmp_path):
     path = write(tmp_path, "".join(f"row {i}\n" for i in range(5000)), "lines.txt")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
@@ -131,6 +146,31 @@ def deliver(spark, rows, path):
     return write_delivery(df, path, template(spark))
 
 
+def test_slot_overflow_fails_the_run(spark, tmp_path):
+    """50 attributes fit; 51 and 60 are reported with their number, and nothing is written."""
+    counts = {1: 49, 2: 50, 3: 59}
+    products = spark.createDataFrame([(i, None, f"M{i}", "text") for i in counts], "product_id long, classpath string, mpn string, description string")
+    attributes = spark.createDataFrame(
+        [(i * 1000 + n, i, f"Label {n}", f"v{n}", None, "AGREEMENT") for i, k in counts.items() for n in range(k)],
+        "attribute_id long, product_id long, label string, normalized_value string, normalized_uom string, agreement string")
+    cells = delivery.attribute_cells(products, template(spark).limit(1), attributes)
+    assert cells.where("value <> ''").count() == sum(counts.values())
+    problems = {r.product_id: r.problem for r in delivery.slot_overflow(cells).collect()}
+    assert problems == {2: "1 attributes do not fit into 50 slots", 3: "10 attributes do not fit into 50 slots"}
+    pivoted = {r.product_id: (len(r.slots), r[delivery.OVERFLOW]) for r in delivery.pivot_slots(cells).collect()}
+    assert pivoted == {1: (50, 0), 2: (50, 1), 3: (50, 10)}
+    rows = [(i, n, *[r[c] for c in delivery_columns()]) for i, (n, r) in enumerate([(0, delivery_row()), (10, delivery_row(Mfg_Part_Num="B"))])]
+    df = spark.createDataFrame(rows, ["product_id", delivery.OVERFLOW, *delivery_columns()])
+    result = write_delivery(df, str(tmp_path / "out"), template(spark))
+    assert (result["status"], result["error_count"], result["sample"]) == ("OUTPUT_GENERATION_FAILED", 1, ["10 attributes do not fit into 50 slots"])
+    assert not (tmp_path / "out").exists()
+
+
+def test_every_violation_is_returned(spark, tmp_path):
+    result = deliver(spark, [delivery_row(Mfg_Part_Num=f"M{i}", Part_Desc=" ") for i in range(60)], str(tmp_path / "out"))
+    assert result["error_count"] == 60 == result["violations"].count() and len(result["sample"]) < 60
+
+
 def test_delivery_is_all_or_nothing(spark):
     label, value, uom = slot_columns(1)
     good = delivery_row(**{label: "Width", value: '1/2"', uom: "in"})
