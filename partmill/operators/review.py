@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLASSIFY_REVIEW, CLOSED_REVIEW, DECISION_ALIASES, OPEN_REVIEW
@@ -168,6 +168,26 @@ def sync_queue(queue: DataFrame, drafts: DataFrame) -> DataFrame:
     return closed.select(*queue.columns).unionByName(merged.select(*queue.columns))
 
 
+def sync_candidates(stored: DataFrame, synced: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Candidate values in step with a synchronised queue: open reviews show those of their latest
+    draft, closed ones keep what was decided on, and values of vanished reviews go."""
+    keyed = stored.withColumn("attribute_key", attribute_key(F.col("attribute")))
+    closed = synced.where(~F.col("status").isin(OPEN_REVIEW)).select(
+        "product_id", "issue_type", attribute_key(F.col("attribute")).alias("attribute_key")).distinct()
+    return keyed.join(closed, KEY, "left_semi").select(*stored.columns).unionByName(fresh.select(*stored.columns))
+
+
+def review_sources(queue: DataFrame, sources: DataFrame) -> DataFrame:
+    """The product's sources beside each review, most authoritative first, one row per source.
+
+    Sources are ranked once per product; a product with many reviews does not rank them again.
+    """
+    order = Window.partitionBy("product_id").orderBy(F.col("authority_score").desc_nulls_last(), "source_id", "url")
+    ranked = sources.select("product_id", "source_id", "url", "title", "source_type", "authority_score").withColumn(
+        "source_rank", F.row_number().over(order))
+    return queue.select("review_id", "product_id").join(ranked, "product_id")
+
+
 def open_counts(queue: DataFrame) -> DataFrame:
     return queue.where(F.col("status").isin(OPEN_REVIEW)).groupBy("product_id").agg(
         F.count(F.lit(1)).alias("open_reviews"), F.min("review_id").alias("first_review_id"))
@@ -324,7 +344,8 @@ def process_summary(products: DataFrame, queue: DataFrame, validations: DataFram
 
 def enrich_queue(queue: DataFrame, products: DataFrame, attributes: DataFrame, classifications: DataFrame,
                  vocab: Vocabulary | None = None) -> DataFrame:
-    """Queue rows with product, classification and back-filled vocabulary diagnostics."""
+    """Queue rows with all a reviewer needs: product, classification, the stored finding, and for
+    vocabulary issues whose stored diagnostics are incomplete the attribute row and current list."""
     df = queue.join(products.select("product_id", "mpn", "description"), "product_id", "left").join(
         classifications.select("product_id", "classpath"), "product_id", "left")
     rows = attributes.select("product_id", F.col("label").alias("attribute"), F.col("raw_value").alias("a_raw"),
@@ -347,13 +368,21 @@ def enrich_queue(queue: DataFrame, products: DataFrame, attributes: DataFrame, c
 
     def stored(name):
         return F.nullif(F.col(name), F.lit("")) if name in has else F.lit(None).cast("string")
+    listed = F.when(F.size("allowed_values") > 0, F.col("allowed_values")) if "allowed_values" in has else F.lit(None).cast("array<string>")
+    df = df.withColumn("_listed", listed)
+    # Findings that were stored whole are shown as they were.
+    fill = lov & (F.col("_listed").isNull() | stored("normalized_value").isNull())
+
+    def filled(name, current):
+        return F.coalesce(stored(name), F.when(fill, F.col(current)))
     return df.select(
         "review_id", "product_id", "mpn", "issue_type", "attribute", "status", "classpath",
-        F.coalesce(stored("raw_value"), "a_raw").alias("raw_value"),
-        F.coalesce(stored("normalized_value"), "a_norm", stored("current_value")).alias("normalized_value"),
-        F.when(lov, F.col("allowed")).alias("allowed_values"),
-        F.coalesce(stored("source"), "a_source").alias("source"),
-        F.coalesce(stored("evidence_text"), "a_evidence").alias("evidence_text"))
+        *[stored(c).alias(c) for c in ("severity", "current_value", "reason")],
+        filled("raw_value", "a_raw").alias("raw_value"),
+        F.coalesce(filled("normalized_value", "a_norm"), stored("current_value")).alias("normalized_value"),
+        F.coalesce("_listed", F.when(fill, F.col("allowed"))).alias("allowed_values"),
+        filled("source", "a_source").alias("source"),
+        filled("evidence_text", "a_evidence").alias("evidence_text"))
 
 
 def queue_listing(queue: DataFrame, status: str | None = "PENDING", product_id: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.normalization import Vocabulary
@@ -16,7 +16,8 @@ def catalog(rows: DataFrame) -> DataFrame:
     grouped = rows.where(F.col("alias") != F.col("canonical")).groupBy("canonical").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("priority", "alias"))), lambda a: a["alias"]).alias("aliases"))
     every = rows.select("canonical").distinct().join(grouped, "canonical", "left")
-    return alias_rows(every.select(F.xxhash64("canonical").alias("entry"), "canonical",
+    # The catalog is a dimension: ranking its names in one window is cheap.
+    return alias_rows(every.select(F.dense_rank().over(Window.orderBy("canonical")).alias("entry"), "canonical",
                                    F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")))
 
 
@@ -56,7 +57,7 @@ def template(t: Tables) -> DataFrame:
 def finish_list(t: Tables) -> DataFrame:
     """A controlled list 'Finish' from the part types, each with one alias."""
     return t.part.select("p_type").distinct().select(
-        F.lit("Finish").alias("label"), F.hash("p_type").alias("position"),
+        F.lit("Finish").alias("label"), F.dense_rank().over(Window.orderBy("p_type")).alias("position"),
         F.initcap("p_type").alias("canonical"), F.array(F.concat(F.lower("p_type"), F.lit(" grade"))).alias("aliases"))
 
 

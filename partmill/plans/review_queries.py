@@ -183,11 +183,43 @@ def ordered_distinct(t: Tables):
     return documents.unique_snippets(hits)
 
 
-@query("joi_19_review_enrichment", "product_reviews states extracted listed", f"""WITH attrs AS ({ATTRS})
-SELECT r.review_id, s.mpn, r.issue_type, r.attribute, l.classpath, CASE WHEN r.issue_type = 'LOV_INVALID' THEN a.raw_value END AS raw_value, coalesce(CASE WHEN r.issue_type = 'LOV_INVALID' THEN a.normalized_value END, r.current_value) AS normalized_value,
-  CASE WHEN r.issue_type = 'LOV_INVALID' THEN a.selected_source END AS source FROM product_reviews r LEFT JOIN states s ON s.product_id = r.product_id LEFT JOIN listed l ON l.product_id = r.product_id LEFT JOIN attrs a ON a.product_id = r.product_id AND a.label = r.attribute""")
+# Stored findings: some reviews keep an allowed list, some of these also the normalized value.
+STORED = """SELECT r.*, CASE WHEN review_id % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 'why ' || CAST(review_id AS STRING) AS reason, CASE WHEN review_id % 4 = 0 THEN 'kept' END AS normalized_value,
+  CASE WHEN review_id % 8 = 0 THEN 'stored list' END AS list_text FROM product_reviews r"""
+
+
+@query("joi_19_review_enrichment", "product_reviews states extracted listed", f"""WITH attrs AS ({ATTRS}), st AS ({STORED}),
+j AS (SELECT r.*, s.mpn, l.classpath, l.fine, a.raw_value AS ar, a.normalized_value AS an, a.selected_source AS asrc, r.issue_type = 'LOV_INVALID' AND (list_text IS NULL OR r.normalized_value IS NULL) AS fill
+  FROM st r LEFT JOIN states s ON s.product_id = r.product_id LEFT JOIN listed l ON l.product_id = r.product_id LEFT JOIN attrs a ON a.product_id = r.product_id AND a.label = r.attribute)
+SELECT review_id, mpn, issue_type, attribute, classpath, severity, reason, current_value, CASE WHEN fill THEN ar END AS raw_value, coalesce(normalized_value, CASE WHEN fill THEN an END, current_value) AS normalized_value,
+  coalesce(list_text, CASE WHEN fill AND attribute = 'Product Type' THEN fine END) AS allowed_values, CASE WHEN fill THEN asrc END AS source FROM j""")
 def enrichment(t: Tables):
-    """JOI-19: queue rows with product, classification and back-filled diagnostics."""
-    attrs = t.sql(ATTRS, "extracted")
-    return review.enrich_queue(t.product_reviews, t.states, attrs, t.listed).select(
-        "review_id", "mpn", "issue_type", "attribute", "classpath", "raw_value", "normalized_value", "source")
+    """JOI-19: queue rows with product, classification, stored findings and back-filled diagnostics."""
+    attrs, queue = t.sql(ATTRS, "extracted"), t.sql(STORED, "product_reviews")
+    queue = queue.withColumn("allowed_values", F.when(F.col("list_text").isNotNull(), F.array("list_text"))).drop("list_text")
+    rows = review.enrich_queue(queue, t.states, attrs, t.listed, dims.vocabulary(t))
+    return rows.select("review_id", "mpn", "issue_type", "attribute", "classpath", "severity", "reason", "current_value", "raw_value",
+                       "normalized_value", F.array_join("allowed_values", "|").alias("allowed_values"), "source")
+
+
+@query("joi_19_review_sources", "product_reviews product_sources", """
+SELECT r.review_id, r.product_id, s.source_id, s.url, CAST(row_number() OVER (PARTITION BY r.review_id ORDER BY s.authority_score DESC, s.source_id, s.url) AS INT) AS source_rank FROM product_reviews r JOIN product_sources s ON s.product_id = r.product_id""")
+def review_sources(t: Tables):
+    """JOI-19: the product's sources beside each review."""
+    return review.review_sources(t.product_reviews, t.product_sources).select("review_id", "product_id", "source_id", "url", "source_rank")
+
+
+OLD = "SELECT product_id, issue_type, attribute, 0 AS block, CAST(0 AS BIGINT) AS ordinal, 'old ' || CAST(review_id AS STRING) AS value, 'INPUT' AS source FROM product_reviews"
+VALUES = "SELECT p_partkey AS product_id, 'Width' AS label, CAST(1 AS BIGINT) AS ordinal, CAST(p_size AS STRING) AS value, 'INPUT' AS source FROM part UNION ALL SELECT p_partkey, 'Brand', 2, p_brand, 'MANUFACTURER' FROM part"
+
+
+@query("rev_03_candidate_refresh", "product_reviews", f"""WITH {COLLECTED}, old AS ({OLD}), cv AS ({VALUES}),
+closed AS (SELECT DISTINCT product_id, issue_type, lower(trim(attribute)) AS k FROM product_reviews WHERE NOT {OPEN})
+SELECT o.product_id, o.issue_type, o.attribute, o.ordinal, o.value FROM old o JOIN closed c ON c.product_id = o.product_id AND c.issue_type = o.issue_type AND c.k = lower(trim(o.attribute))
+UNION ALL SELECT d.product_id, d.issue_type, d.attribute, v.ordinal, v.value FROM dr d JOIN cv v ON v.product_id = d.product_id AND v.label = d.attribute""")
+def candidate_refresh(t: Tables):
+    """REV-03: candidate values follow the synchronised queue."""
+    drafts = collected(t)
+    fresh = review.draft_candidates(drafts, t.sql(VALUES))
+    synced = review.sync_queue(t.product_reviews, drafts)
+    return review.sync_candidates(t.sql(OLD, "product_reviews"), synced, fresh).select("product_id", "issue_type", "attribute", "ordinal", "value")

@@ -162,6 +162,31 @@ def test_chunks_cover_the_text(size, overlap):
     assert text[at:].strip() == ""
 
 
+def test_links_and_titles_are_kept_whole_unless_limited(spark):
+    html = "<title>T</title><main>" + "".join(f'<a href="/p{i}">x</a>' for i in range(60)) + "</main>"
+    pages = spark.createDataFrame([(html, "https://m.example.com/")], "html string, url string")
+    assert [len(documents.extract_pages(pages, max_links=n).first().links) for n in (None, 5)] == [60, 5]
+    best = spark.createDataFrame([(1, 2, "u", "MANUFACTURER", "OTHER")], "product_id long, source_id long, url string, source_type string, content_type string")
+    page = spark.createDataFrame([("u", "t" * 700, "text", ["l"])], "url string, title string, content string, links array<string>")
+    context = spark.createDataFrame([(1, "m", "b", "f")], "product_id long, mpn string, brand string, manufacturer string")
+    for limit, length in ((None, 700), (512, 512)):
+        assert len(documents.index_documents(best, page, context, max_title=limit)["documents"].first().document_title) == length
+
+
+def test_page_numbers_of_chunks():
+    pages = [split_chunks(text, 2400, 300)[0][1] for text in ("Page 7\nx", "Page  12 \nx", "Page\n7", "Page seven", "A Page 7")]
+    assert pages == [7, 12, None, None, None]
+
+
+def test_retrieval_ranks_own_chunks(spark):
+    chunks = spark.createDataFrame([(1, 0, "belt sander grit eighty"), (1, 1, "unrelated words entirely"), (1, 2, "belt grit"), (2, 0, "belt sander grit eighty")],
+                                   "product_id long, chunk_index int, chunk_text string")
+    queries = spark.createDataFrame([(1, "belt sander grit")], "product_id long, query_text string")
+    got = documents.retrieve_evidence(queries, documents.embed(chunks, "chunk_text"), k=2).orderBy("hit_rank").collect()
+    assert [r.product_id for r in got] == [1] * len(got) and [r.chunk_index for r in got][-1] == 1
+    assert [r.score for r in got] == sorted([r.score for r in got], reverse=True)
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, "belt sander belt"), (2, ""), (3, "BELT belt SANDER")], "id int, t string")
     rows = {r.id: r.vector for r in documents.embed(df, "t").collect()}

@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from partmill import scale
 from partmill.constants import INTAKE_COLUMNS, delivery_columns, slot_columns
 from partmill.operators import delivery
 from partmill.scale import exact_percentiles, lookup, materialize, scratch_path
@@ -121,6 +122,16 @@ def test_stage_store_replaces_and_cascades(spark):
     assert not any(store.exists(f"normalized/bucket={b}") for b in range(4))
 
 
+def test_scratch_scope_removes_its_tables(spark):
+    with scale.scratch_scope(spark) as folder:
+        rows = materialize(spark.range(5), "kept").collect()
+        inside = scale.scratch_path(spark, "x")
+    assert len(rows) == 5 and inside.startswith(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert not scale.scratch_path(spark, "x").startswith(folder)
+
+
 def test_cache_hits_and_misses(spark):
     df = spark.createDataFrame([(" A ", "B", None), ("a", "b", ""), ("z", None, None)], "mpn string, brand string, manufacturer string")
     stored = df.limit(1).select(cache.cache_key(cache.RESEARCH_FIELDS).alias("cache_key")).withColumn("payload", F.lit("p"))
