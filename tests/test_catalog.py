@@ -174,7 +174,7 @@ def test_links_and_titles_are_kept_whole_unless_limited(spark):
 
 
 def test_page_numbers_of_chunks():
-    pages = [split_chunks(text, 2400, 300)[0][1] for text in ("Page 7\nx", "Page  12 \nx", "Page\n7", "Page seven", "A Page 7")]
+    pages = [split_chunks(text + "\n" + "word " * 30, 60, 5)[0][1] for text in ("Page 7", "Page  12 ", "Page\n7", "Page seven", "A Page 7")]
     assert pages == [7, 12, None, None, None]
 
 
