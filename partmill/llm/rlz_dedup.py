@@ -18,8 +18,9 @@ Defined cases: null text has no words; a text shorter than a window keeps all. K
 joined by one space; a text without kept words has the hash of the empty string. Rows that repeat
 id and text repeat each other's windows and lose them. Other columns are ignored.
 
-Scale: one shuffle moves an anchor's place and a block's hash, about one row per 12 words; within
-an anchor Spark sorts and spills, so a hot passage needs no memory. Only unmatched blocks of
+Scale: one shuffle moves an anchor's place and a block's hash, about one row per 12 words. Blocks
+that repeat within an Arrow batch are matched there, and only their first occurrence is dealt out by
+anchor, so a hot passage sends one row a batch to its task; within an anchor Spark sorts and spills. Only unmatched blocks of
 repeated anchors, and one example of each matched one, send windows, again in one shuffle. Texts
 are shuffled by document, never by content. Python memory is some 60 bytes a character of the
 longest single text.
@@ -35,12 +36,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import materialize
-from .textnum import as_long, run_hashes, span_hashes, text_words
+from .textnum import as_long, mix, run_hashes, span_hashes, text_words
 
 _SECOND = 0xA0761D6478BD642F  # another base, so that a block's hash does not repeat a window's
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
-BLOCK = "anchor long, block long, k1 long, k2 long, first int, last int"
+#: `route` deals a row out: the anchor, or for a block met before in the same batch any value that spreads;
+#: l1, l2, lf point at another occurrence in the batch.
+BLOCK = "route long, anchor long, block long, k1 long, k2 long, first int, last int, l1 long, l2 long, lf int"
 REQUEST = "anchor long, k1 long, k2 long, first int, open boolean, hashes array<long>"
 
 
@@ -69,6 +72,20 @@ def blocks(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     return grams[at], content ^ ((at - first + 1).astype(np.uint64) * _PLACE), first.astype(np.int32), last.astype(np.int32)
 
 
+def _met_before(anchor: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row whether an equal block came before it in the batch, and the place of another equal
+    one: the first, for the first the second, -1 if there is none."""
+    order = np.lexsort((block, anchor))
+    a, b, n = anchor[order], block[order], len(order)
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    ends = np.concatenate((new[1:], [True]))
+    head = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    other = np.where(new, np.where(ends, -1, np.append(order[1:], -1)), head)
+    before, place = np.empty(n, bool), np.empty(n, np.int64)
+    before[order], place[order] = ~new, other
+    return before, place
+
+
 def _find_blocks(window: int, gram: int):
     names = [x.split()[0] for x in BLOCK.split(", ")]
 
@@ -80,8 +97,13 @@ def _find_blocks(window: int, gram: int):
                 if len(words) >= window:
                     a, b, first, last = blocks(words, window, gram)
                     rows.append((as_long(a), as_long(b), np.full(len(a), k1), np.full(len(a), k2), first, last))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names)
+            if not rows:
+                continue
+            anchor, block, k1, k2, first, last = (np.concatenate(c) for c in zip(*rows))
+            before, place = _met_before(anchor, block)
+            route = np.where(before, as_long(mix(k1.view(np.uint64) + first.astype(np.uint64))), anchor)
+            pointers = [pa.array(c[place], mask=place < 0) for c in (k1, k2, first)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (route, anchor, block, k1, k2, first, last)] + pointers, names)
     return run
 
 
@@ -140,17 +162,18 @@ def parse(keyed: DataFrame, window: int, gram: int = 8) -> DataFrame:
 
     Windows first..last of document (k1, k2) equal those from `source` on of document (s1, s2).
     """
-    found = keyed.select("text", "k1", "k2").mapInArrow(_find_blocks(window, gram), BLOCK).repartition("anchor")
-    block = Window.partitionBy("anchor", "block").orderBy("k1", "k2", "first")
+    found = keyed.select("text", "k1", "k2").mapInArrow(_find_blocks(window, gram), BLOCK).repartition("route")
+    block = Window.partitionBy("route", "block").orderBy("k1", "k2", "first")
     me = F.struct("k1", "k2", "first")
     placed = (found
               .withColumn("turn", F.row_number().over(block))
               .withColumn("next", F.lead(me).over(block))
               .withColumn("head", F.first(me).over(block))
-              .withColumn("low", F.min("block").over(Window.partitionBy("anchor")))
-              .withColumn("high", F.max("block").over(Window.partitionBy("anchor"))))
-    source = F.when(F.col("turn") > 1, F.col("head")).otherwise(F.col("next"))
-    several = F.col("low") != F.col("high")
+              .withColumn("low", F.min("block").over(Window.partitionBy("route")))
+              .withColumn("high", F.max("block").over(Window.partitionBy("route"))))
+    near = F.when(F.col("l1").isNotNull(), F.struct(F.col("l1").alias("k1"), F.col("l2").alias("k2"), F.col("lf").alias("first")))
+    source = F.coalesce(near, F.when(F.col("turn") > 1, F.col("head")).otherwise(F.col("next")))
+    several = (F.col("low") != F.col("high")) & (F.col("route") == F.col("anchor"))
     steps = materialize(placed.withColumn("source", source).where(F.col("source").isNotNull() | several).select(
         "anchor", "k1", "k2", "first", "last", "source", (several & (F.col("turn") == 1)).alias("ask")), "rlz-blocks")
 

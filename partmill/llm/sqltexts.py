@@ -14,15 +14,17 @@ h AS (
   SELECT n.host, CASE WHEN bare THEN n.host WHEN two IN (%(wide)s) THEN CASE WHEN three = '' THEN n.host ELSE three END WHEN two = '' THEN n.host ELSE two END AS domain,
     CASE WHEN bare THEN '' WHEN two IN (%(wide)s) THEN two ELSE one END AS suffix, coalesce(c.n, 0) AS n, coalesce(c.y, 0) AS y
   FROM names n LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS y FROM o WHERE bad IS NOT NULL GROUP BY host) c ON n.host = c.host),
-s0 AS (SELECT suffix, sum(n) AS n, sum(y) AS y, (SELECT (sum(y) + 0.5e0) / (sum(n) + 1) FROM h) AS m FROM h GROUP BY suffix),
-sk AS (SELECT 1 / greatest(0.001e0, least(0.9e0, coalesce((sum(n * pow(y * 1e0 / n - m, 2) / (m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0), 0.05e0))) - 1 AS k FROM s0 WHERE n > 0),
-s AS (SELECT suffix, (y + k * m) / (n + k) AS m FROM s0, sk),
-d0 AS (SELECT domain, suffix, sum(n) AS n, sum(y) AS y, any_value(s.m) AS m FROM h JOIN s USING (suffix) GROUP BY domain, suffix),
-dk AS (SELECT 1 / greatest(0.001e0, least(0.9e0, coalesce((sum(n * pow(y * 1e0 / n - m, 2) / (m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0), 0.05e0))) - 1 AS k FROM d0 WHERE n > 0),
-d AS (SELECT domain, (y + k * m) / (n + k) AS m FROM d0, dk),
-l AS (SELECT h.*, d.m FROM h JOIN d USING (domain)),
-lk AS (SELECT 1 / greatest(0.001e0, least(0.9e0, coalesce((sum(n * pow(y * 1e0 / n - m, 2) / (m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0), 0.05e0))) - 1 AS k FROM l WHERE n > 0),
-r AS (SELECT host, n, y, y + k * m AS a, n - y + k * (1 - m) AS b FROM l, lk),
+s0 AS (SELECT suffix, sum(n) AS n, sum(y) AS y, (SELECT coalesce(sum(n), 0) FROM h) AS pn, (SELECT coalesce(sum(y), 0) FROM h) AS py, 0.1e0 AS pm, 5e0 AS pk FROM h GROUP BY suffix),
+s1 AS (SELECT *, (py - y + pk * pm) / (pn - n + pk) AS m FROM s0),
+sk AS (SELECT 1 / greatest(0.001e0, least(0.9e0, coalesce((sum(n * pow(y * 1e0 / n - m, 2) / (m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0), 0.05e0))) - 1 AS lk FROM s1 WHERE n > 0),
+s AS (SELECT suffix, n, y, m, least(lk, pn - n + pk) AS k FROM s1, sk),
+d1 AS (SELECT g.domain, g.suffix, g.n, g.y, s.n AS pn, s.k AS pk, (s.y - g.y + s.k * s.m) / (s.n - g.n + s.k) AS m FROM (SELECT domain, suffix, sum(n) AS n, sum(y) AS y FROM h GROUP BY domain, suffix) g JOIN s USING (suffix)),
+dk AS (SELECT 1 / greatest(0.001e0, least(0.9e0, coalesce((sum(n * pow(y * 1e0 / n - m, 2) / (m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0), 0.05e0))) - 1 AS lk FROM d1 WHERE n > 0),
+d AS (SELECT domain, n, y, m, least(lk, pn - n + pk) AS k FROM d1, dk),
+l1 AS (SELECT h.host, h.n, h.y, d.n AS pn, d.k AS pk, (d.y - h.y + d.k * d.m) / (d.n - h.n + d.k) AS m FROM h JOIN d USING (domain)),
+lk AS (SELECT 1 / greatest(0.001e0, least(0.9e0, coalesce((sum(n * pow(y * 1e0 / n - m, 2) / (m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0), 0.05e0))) - 1 AS lk FROM l1 WHERE n > 0),
+l AS (SELECT *, least(lk, pn - n + pk) AS k FROM l1, lk),
+r AS (SELECT host, n, y, y + k * m AS a, n - y + k * (1 - m) AS b FROM l),
 v AS (SELECT *, a / (a + b) - 1.645e0 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > 0.25e0 AS bad_host FROM r),
 f AS (
   SELECT u.page_id, u.host, u.path, v.n, v.y, v.bad_host,

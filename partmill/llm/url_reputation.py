@@ -7,8 +7,8 @@ level differ. A host is blocked when the lower posterior bound of its bad rate e
 
 Defined cases: a null url or one without `://` has empty host and path and no rule; the empty host
 is a host like any other. Rows whose outcome is null are not counted. Repeated pages count, and are
-judged, once per row. Without any outcome all hosts share the prior 1/2 with wide bounds, so all
-are allowed. Other columns of the inputs are ignored.
+judged, once per row. Without any outcome all hosts share the weak prior at the top and are allowed.
+Other columns of the inputs are ignored.
 
 Scale: one pass over the urls for the outcomes and one for the verdict; the host table is
 pre-aggregated before it is shuffled, and a hot host is only a hot key of the last join, which
@@ -65,41 +65,49 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return out if out is not None else F.lit(None).cast("struct<rule:string,action:string>")
 
 
-def _strength(children: DataFrame, name: str) -> DataFrame:
-    """One row: the beta-binomial prior's pseudo-count, from children with counts n, y and parent mean m."""
-    rest = F.col("n") * F.pow(F.col("y") / F.col("n") - F.col("m"), 2) / (F.col("m") * (1 - F.col("m")))
-    rho = (F.sum(rest) - F.count(F.lit(1))) / F.nullif(F.sum(F.col("n") - 1), F.lit(0))
+def _with_prior(children: DataFrame) -> DataFrame:
+    """Prior mean `m` and strength `k` of children (n, y) from parents (pn, py, pm, pk).
+
+    The parent's evidence is taken without the child's own, so nothing counts twice. The strength is
+    the beta-binomial moment estimate over all children of the level (how little they differ from
+    their parents), but never more than the evidence that the parent has.
+    """
+    rest_n, rest_y = F.col("pn") - F.col("n") + F.col("pk"), F.col("py") - F.col("y") + F.col("pk") * F.col("pm")
+    children = children.withColumn("m", rest_y / rest_n).withColumn("most", rest_n)
+    gap = F.col("n") * F.pow(F.col("y") / F.col("n") - F.col("m"), 2) / (F.col("m") * (1 - F.col("m")))
+    rho = (F.sum(gap) - F.count(F.lit(1))) / F.nullif(F.sum(F.col("n") - 1), F.lit(0))
     rho = F.greatest(F.lit(0.001), F.least(F.lit(0.9), F.coalesce(rho, F.lit(0.05))))
-    return children.where("n > 0").agg((1 / rho - 1).alias(name))
+    strength = children.where("n > 0").agg((1 / rho - 1).alias("level_k"))  # one row: joins as a scalar
+    return children.join(F.broadcast(strength), F.lit(True)).withColumn("k", F.least("level_k", "most")).drop("level_k", "most")
 
 
-def _shrunk(level: DataFrame, strength: DataFrame, name: str) -> DataFrame:
-    """Posterior mean of each row under a prior with mean m; the one-row strength joins as a scalar."""
-    return level.join(F.broadcast(strength), F.lit(True)).withColumn(
-        "mean", (F.col("y") + F.col(name) * F.col("m")) / (F.col("n") + F.col(name)))
+def _as_parent(level: DataFrame, key: str) -> DataFrame:
+    return level.select(key, F.col("n").alias("pn"), F.col("y").alias("py"), F.col("m").alias("pm"), F.col("k").alias("pk"))
 
 
 def host_reputation(urls: DataFrame, outcomes: DataFrame, z: float = 1.645,
                     wide: Sequence[str] = WIDE_SUFFIXES) -> DataFrame:
-    """One row per host of `urls` (host): n, y (bad outcomes), posterior mean, lower and upper bound.
+    """One row per host of `urls` (host) and of the outcomes: n, y (bad outcomes), posterior mean, lower and upper bound.
 
-    `outcomes` has one row (host, bad) for each labelled page.
+    `outcomes` has one row (host, bad) for each labelled page. Above the suffixes stands a weak
+    prior of five pages, half a page of them bad.
     """
     counts = outcomes.where("bad is not null").groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bad").cast("long").alias("y"))
-    hosts = urls.select("host").distinct().join(counts, "host", "left").select(
+    # Hosts of the outcomes count for their domains and suffixes even where no url names them.
+    named = urls.select("host").unionByName(outcomes.select("host")).distinct()
+    hosts = named.join(counts, "host", "left").select(
         "host", domain_of(F.col("host"), wide).alias("domain"), suffix_of(F.col("host"), wide).alias("suffix"),
         F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("y", F.lit(0)).alias("y"))
-    total = hosts.agg(((F.coalesce(F.sum("y"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("m"))
     summed = (F.sum("n").alias("n"), F.sum("y").alias("y"))
-    suffixes = hosts.groupBy("suffix").agg(*summed).join(F.broadcast(total), F.lit(True))
-    suffixes = _shrunk(suffixes, _strength(suffixes, "k"), "k").select("suffix", F.col("mean").alias("m"))
-    domains = hosts.groupBy("domain", "suffix").agg(*summed).join(suffixes, "suffix")
-    domains = _shrunk(domains, _strength(domains, "k"), "k").select("domain", F.col("mean").alias("m"))
-    leaves = hosts.join(domains, "domain")
+    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pn"), F.coalesce(F.sum("y"), F.lit(0)).alias("py"))
+    total = total.select("pn", "py", F.lit(0.1).alias("pm"), F.lit(5.0).alias("pk"))
+    suffixes = _with_prior(hosts.groupBy("suffix").agg(*summed).join(F.broadcast(total), F.lit(True)))
+    domains = _with_prior(hosts.groupBy("domain", "suffix").agg(*summed).join(_as_parent(suffixes, "suffix"), "suffix"))
+    leaves = _with_prior(hosts.join(_as_parent(domains, "domain"), "domain"))
     a, b = F.col("y") + F.col("k") * F.col("m"), F.col("n") - F.col("y") + F.col("k") * (1 - F.col("m"))
     spread = F.lit(z) * F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
-    return _shrunk(leaves, _strength(leaves, "k"), "k").select(
+    return leaves.withColumn("mean", a / (a + b)).select(
         "host", "n", "y", "mean", (F.col("mean") - spread).alias("lower"), (F.col("mean") + spread).alias("upper"))
 
 
