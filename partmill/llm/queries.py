@@ -21,6 +21,7 @@ from .url_reputation import WIDE_SUFFIXES, filter_urls, outcomes_by_document
 
 SHARD_BYTES = 16 << 20
 NGRAM = 10
+WINDOW = 35
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(dedup_substrings(table(spark, sf_dir, "documents")))
+    return digest(dedup_substrings(table(spark, sf_dir, "documents"), WINDOW))
 
 
 def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +95,11 @@ def _secret_rules() -> list[tuple[str, str, int, int]]:
 
 ORACLES: dict[str, str] = {
     "op1_url_reputation": sqltexts.URLS % {"wide": ", ".join(f"'{s}'" for s in WIDE_SUFFIXES)},
+    "op2_rlz_substrings": sqltexts.SUBSTRINGS % {"n": WINDOW},
     "op3_block_naming": sqltexts.EXACT,
     "op4_trigram_secrets": sqltexts.secrets(_secret_rules()),
     "op6_extendible_shards": sqltexts.SHARDS % {"limit": SHARD_BYTES},
     "op7_decontamination": sqltexts.DECONTAMINATE % {"n": NGRAM},
     "op8_source_mix": sqltexts.MIX,
+    "op10_minhash_near_dedup": sqltexts.NEAR,
 }

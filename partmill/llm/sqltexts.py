@@ -114,3 +114,24 @@ p AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target,
   CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * CAST(n AS BIGINT) - before)) AS BIGINT) AS taken FROM p""".replace("%%", "%")
+
+SUBSTRINGS = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT id, s, md5(array_to_string(w[s:s + %(n)d - 1], ' ')) AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - %(n)d + 1)) AS s FROM d WHERE len(w) >= %(n)d)),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT id, unnest(generate_series(s, s + %(n)d - 1)) AS p FROM win JOIN twice USING (g)),
+word AS (SELECT id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT id, string_agg(t, ' ' ORDER BY p) AS k, count(*) AS n FROM word ANTI JOIN gone USING (id, p) GROUP BY id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (id)"""
+
+NEAR = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, b.y FROM reach r JOIN ways b ON b.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.low AS component_id, d.doc_id = c.low AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x) c USING (doc_id)"""
