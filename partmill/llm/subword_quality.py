@@ -13,7 +13,7 @@ Training reads labelled rows only, at most `per_class` of each class, chosen by
 not held out; that bound is the only sample. Scoring reads every whole text.
 
 Defined cases: null text is empty; a text without words has no features and gets the score of the
-layer's bias. Documents labelled both ways are not trained on. With fewer than two classes to
+layer's bias. Of the rows that repeat a labelled id one is trained on, chosen by hash of its text. Documents labelled both ways are not trained on. With fewer than two classes to
 learn from every score is the share of class 1, or 0.5 without labels. Labels, language, source
 and id are never inputs of a score. Other columns are ignored.
 
@@ -143,7 +143,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     # At most twice per_class ids: a broadcast of proven size.
     chosen = F.broadcast(sample.select(F.col("doc_id").alias("label_id"), F.col("low").cast("int").alias("label")))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
-        chosen, F.col("id") == F.col("label_id")).select("id", "text", "label").collect()
+        chosen, F.col("id") == F.col("label_id"))
+    # An id may repeat without bound: one row of each, combined before the shuffle, so the bound holds for rows too.
+    rows = rows.groupBy("label_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select(
+        F.col("label_id").alias("id"), "x.text", "label").collect()
     rows.sort(key=lambda r: (str(r["id"]), r["text"]))
     return [(r["text"], r["label"]) for r in rows]
 

@@ -296,7 +296,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, per_
         part = judged.where(side).select("k", "p").dropDuplicates(["k"]).orderBy("k").limit(per_side)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most twice per_side keys: a broadcast of proven size.
-    rows = docs.select(text, k).join(F.broadcast(chosen), "k").select("k", "text", "p").collect()
+    # Rows that repeat a key are equal: one of each, combined before the shuffle, so the bound holds for rows too.
+    rows = docs.select(text, k).join(F.broadcast(chosen), "k").groupBy("k", "p").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["k"])
     return train_linear([r["text"] for r in rows], [r["p"] for r in rows])
 

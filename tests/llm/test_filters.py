@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 import llm.brute as brute
 from partmill.llm import secret_index as secrets
 from partmill.llm import toxicity as tox
+from partmill.llm.common import fold
 from partmill.llm.decontaminate import contamination, without_contaminated
-from partmill.llm.subword_quality import features, good_documents, quality, train
+from partmill.llm.subword_quality import features, good_documents, quality, train, training_rows
 from partmill.llm.url_reputation import domain_of, filter_urls, host_reputation, suffix_of
 
 
@@ -174,3 +175,24 @@ def test_correlated_voters_share_their_weight(spark):
     first = tox.LabelModel(0.1, np.vstack((np.full(4, 0.05), np.full(4, 0.6))), np.ones((2, 4)))
     model = tox.fit_label_model(counted, first)
     assert model.weight[1][1] < 0.6 < model.weight[1][0]
+
+
+def test_training_takes_one_row_of_an_id(spark):
+    """Half of all rows repeat one labelled id, with one text or with many."""
+    rows = [(i, f"text {i}") for i in range(40)] + [(0, "text 0")] * 60 + [(7, f"other {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = training_rows(docs, labels, "quality", 1500)
+    learnt = [r.doc_id for r in labels.where(fold(F.col("doc_id")) != 1).collect()]
+    assert 0 in learnt and 7 in learnt and len(got) == len(learnt)
+    assert sorted(t for t, _ in got if not t.startswith("other")) == sorted(f"text {i}" for i in learnt if i != 7 or ("text 7", 1) in got)
+    assert len(training_rows(docs, labels, "quality", 5)) == 10
+
+
+def test_toxicity_trains_on_one_of_equal_rows(spark, monkeypatch):
+    docs, labels, _ = labelled(spark, random.Random(4), "toxic")
+    seen, learn = [], tox.train_linear
+    monkeypatch.setattr(tox, "train_linear", lambda texts, p: seen.append(len(texts)) or learn(texts, p))
+    tox.fit_toxicity(docs, labels, per_side=10)
+    tox.fit_toxicity(docs.unionByName(docs).unionByName(docs), labels, per_side=10)
+    assert seen[0] == seen[1] <= 20
