@@ -34,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import materialize
+from .common import WORD
 from .components import components
 from .textnum import as_long, mix, run_hashes, text_words
 
@@ -213,10 +214,14 @@ def _repeated(nodes: DataFrame, offset: int) -> DataFrame:
     return hashed.join(shared, ["side", "bucket"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, chunk: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept, and the row's key k1, k2."""
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    return F.xxhash64(id_col, text_col), F.xxhash64(F.lit(1), text_col, id_col)
+
+
+def _grouped(docs: DataFrame, percent: int, chunk: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: id, n, component (null without words), and the row's key k1, k2."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    keys = F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2")
+    keys = [k.alias(name) for k, name in zip(_keys(id_col, text_col), ("k1", "k2"))]
     signed = materialize(docs.select(text, *keys).mapInArrow(_sign, SIGNED), "signed")
     sets = signed.where("n > 0").groupBy("s1", "s2").agg(F.min_by(F.struct("k1", "k2", "mh"), F.struct("k1", "k2")).alias("x"))
     nodes = materialize(sets.select("s1", "s2", "x.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -262,7 +267,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, chunk: int = 1024, id_co
 
     ids = docs.select(F.col(id_col).alias("id"), *keys)
     rows = ids.join(signed.select("k1", "k2", "n", "s1", "s2").distinct(), ["k1", "k2"]).join(final, ["s1", "s2"], "left")
-    rows = materialize(rows.select("id", "n", "component", "k1", "k2"), "rows")
+    return materialize(rows.select("id", "n", "component", "k1", "k2"), "rows")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, chunk: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept, and the row's key k1, k2."""
+    rows = _grouped(docs, percent, chunk, id_col, text_col)
     least = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     return rows.join(least, "component", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -270,8 +280,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, chunk: int = 1024, id_co
         "kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, all columns as they were; rows that repeat a kept id and its text stay together."""
-    kept = near_duplicates(docs, percent, id_col=id_col, text_col=text_col, **options).where("kept").select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    return docs.join(kept, (F.xxhash64(id_col, text_col) == kept["_k1"]) & (F.xxhash64(F.lit(1), text_col, id_col) == kept["_k2"]), "left_semi")
+def one_of_each(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True, chunk: int = 1024) -> DataFrame:
+    """The rows of docs that stay, all columns as they were.
+
+    With `repeats`, the rows that near_duplicates keeps: those that repeat a kept id and its text stay
+    together, and so do those of a component without an id. Otherwise exactly one row of every
+    component stays: the smallest id (null last), then the smallest key, then one of the equal rows;
+    rows without words are in no component and all stay.
+    """
+    k1, k2 = _keys(id_col, text_col)
+    if repeats:
+        kept = near_duplicates(docs, percent, chunk, id_col, text_col).where("kept").select(
+            F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+        return docs.join(kept, (k1 == kept["_k1"]) & (k2 == kept["_k2"]), "left_semi")
+    kept = _grouped(docs, percent, chunk, id_col, text_col).where("component is not null").groupBy("component").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("x")).select("x.k1", "x.k2")
+    wordy = F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
+    # Equal rows are combined before the shuffle; columns that cannot be hashed do not take part in the choice.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    lone = docs.where(wordy).groupBy(k1.alias("k1"), k2.alias("k2")).agg(F.min_by(row, order).alias("row"))
+    return lone.join(kept, ["k1", "k2"], "left_semi").select("row.*").unionByName(docs.where(~wordy))

@@ -88,6 +88,18 @@ def test_one_of_each_keeps_the_columns(spark):
     assert brute.as_rows(kept, "doc_id", "text") == sorted([r for r, b in zip(rows, brute.near(rows)) if b[3]], key=repr)
 
 
+def test_pipeline_keeps_one_row_of_each(spark):
+    """Null and repeated ids: one row of every component stays."""
+    import corpus_pipeline
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    rows = [(None, one)] * 20 + [(7, two)] * 20 + [(8, three), (8, three + " x"), (3, three), (None, three), (9, four), (None, ""), (None, " "), (5, None)]
+    docs = brute.frame(spark, rows)
+    out = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert out.columns == docs.columns
+    got = brute.as_rows(out, "doc_id", "text")
+    assert got == sorted([(None, one), (7, two), (3, three), (9, four), (None, ""), (None, " "), (5, None)], key=repr)
+
+
 def test_components_of_paths_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 50), (50, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
