@@ -12,6 +12,9 @@ blocks, the windows of the blocks that were not matched whole are looked up one
 windows of all blocks of that anchor. Equal windows have equal anchors, so nothing is missed. Every
 factor spans at least one window; each word inside a factor is a duplicate and is removed.
 
+This is not the greedy parse: a pointer goes to the first other occurrence, not to the one that makes
+the longest factor. What is removed depends only on which windows occur twice, so it is the same.
+
 Blocks and windows are compared by two 64-bit hashes together (anchor and content).
 
 Defined cases: null text has no words; a text shorter than a window keeps all. Kept words are
