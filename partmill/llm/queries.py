@@ -11,8 +11,11 @@ from .block_naming import exact_groups
 from .common import table
 from .decontaminate import contamination
 from .extendible_shards import assign_shards
+from .host_rules import host_rules
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .pivot_clusters import centroid_digest, clusters
+from .prefix_trie import prefix_trie
 from .rlz_dedup import dedup_substrings, digest
 from .secret_index import BASE_RULES, MORE_RULES, secret_report
 from .subword_quality import quality
@@ -22,6 +25,7 @@ from .url_reputation import WIDE_SUFFIXES, filter_urls, outcomes_by_document
 SHARD_BYTES = 16 << 20
 NGRAM = 10
 WINDOW = 35
+CENTROIDS, ROUNDS = 40, 5
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +70,19 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
+def op11_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters(table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS)
+    return found.withColumn("centroid_sha256", centroid_digest(found["centroid"])).drop("centroid")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules(table(spark, sf_dir, "documents")).drop("failures")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -82,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_pivot_clusters": op11_pivot_clusters,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_host_rules": op13_host_rules,
     "pipeline": pipeline,
 }
 
@@ -102,4 +122,7 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": sqltexts.DECONTAMINATE % {"n": NGRAM},
     "op8_source_mix": sqltexts.MIX,
     "op10_minhash_near_dedup": sqltexts.NEAR,
+    "op11_pivot_clusters": sqltexts.pivot_clusters(CENTROIDS, ROUNDS),
+    "op12_prefix_trie": sqltexts.TRIE,
+    "op13_host_rules": sqltexts.HOST_RULES % {"wide": ", ".join(f"'{s}'" for s in WIDE_SUFFIXES)},
 }

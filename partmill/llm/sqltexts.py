@@ -135,3 +135,75 @@ ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, b.y FROM reach r JOIN ways b ON b.x = r.y)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.low AS component_id, d.doc_id = c.low AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x) c USING (doc_id)"""
+
+
+def pivot_clusters(k: int, rounds: int) -> str:
+    """One pair of tables for each round: the assignment, then the centroids after it."""
+    near = """
+a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT v.r, c{i}.c, list_sum(list_transform(list_zip(v.e, c{i}.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i}) GROUP BY r)"""
+    move = """
+m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n) ORDER BY p) AS e FROM (
+  SELECT a.c, p, sum(x)::BIGINT AS s, count(*) AS n FROM a{i} a JOIN (SELECT r, unnest(e) AS x, generate_subscripts(e, 1) AS p FROM v) USING (r) GROUP BY a.c, p) GROUP BY c),
+c{j} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.e, c{i}.e) AS e FROM c{i} LEFT JOIN m{i} USING (c))"""
+    steps = ",".join(near.format(i=i) + ("," + move.format(i=i, j=i + 1) if i < rounds else "") for i in range(rounds + 1))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND abs(CAST(x AS DOUBLE)) < 524288)) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (SELECT e, sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v ORDER BY h, e LIMIT {k})),{steps}
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(z.e, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} z ON z.c = a.c"""
+
+
+TRIE = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, conv_id - conv_id % 100 AS base,
+  xor(list_reduce([4294967295::BIGINT] || flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (
+  SELECT n.conv_id, 0 AS half, t.pos, t.role, t.text FROM n JOIN t ON t.conv_id = n.base WHERE t.pos <= n.h
+  UNION ALL SELECT n.conv_id, 1, t.pos, t.role, t.text FROM n JOIN t ON t.conv_id = n.conv_id WHERE t.pos > n.h),
+c AS (SELECT n.conv_id, coalesce(list(md5(length(role) || ':' || role || text) ORDER BY half, pos) FILTER (b.pos IS NOT NULL), []) AS marks,
+    coalesce(list(length(text) ORDER BY half, pos) FILTER (b.pos IS NOT NULL), []) AS chars FROM n LEFT JOIN b USING (conv_id) GROUP BY n.conv_id),
+p AS (SELECT conv_id, d, array_to_string(marks[:d], ',') AS k, CASE WHEN d = 0 THEN 0 ELSE chars[d] END AS chars, array_to_string(marks[:d - 1], ',') AS up, len(marks) = d AS ends
+  FROM (SELECT *, unnest(generate_series(0, len(marks))) AS d FROM c)),
+g AS (SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends) AS ends,
+  bool_and(ends) AS leaf FROM p GROUP BY d, k),
+a AS (SELECT DISTINCT p.d, p.k, q.d AS below_d, q.k AS below FROM p JOIN p q ON q.conv_id = p.conv_id AND q.d >= p.d),
+s AS (SELECT a.d, a.k, sum(CAST(g.leaf AS BIGINT)) AS n_leaves, sum((g.n_convs - 1) * g.chars) AS saved FROM a JOIN g ON g.d = a.below_d AND g.k = a.below GROUP BY a.d, a.k)
+SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, CASE WHEN g.d > 0 THEN u.conv_id END AS parent_conv_id, g.n_convs,
+  (SELECT count(*) FROM g x WHERE x.d = g.d + 1 AND x.up = g.k) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN s ON s.d = g.d AND s.k = g.k LEFT JOIN g u ON u.d = g.d - 1 AND u.k = g.up"""
+
+HOST_RULES = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS id, doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+r AS (SELECT id, s, array_to_string(w[s:s + 4], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - 4)) AS s FROM t WHERE len(w) >= 5)),
+k AS (SELECT id, s FROM r JOIN (SELECT id, g FROM r GROUP BY id, g HAVING count(*) > 1) USING (id, g)),
+c AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(generate_series(s, s + 4)) AS p FROM k) GROUP BY id),
+m AS (
+  SELECT t.id, doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+    regexp_extract(host, '([^.]+\.[^.]*)$', 1) AS two, regexp_extract(host, '([^.]+\.[^.]+\.[^.]*)$', 1) AS three, regexp_matches(host, '^[0-9.]*$|:') AS bare
+  FROM t LEFT JOIN c ON c.id = t.id),
+f AS (
+  SELECT *, CASE WHEN bare OR (CASE WHEN two IN (%(wide)s) THEN three ELSE two END) = '' THEN host WHEN two IN (%(wide)s) THEN three ELSE two END AS domain,
+    n_words < 10 AS few, 100 * n_repeat_words > 20 * n_words AS again, 10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS lines,
+    word_chars < 3 * n_words OR word_chars > 10 * n_words AS length FROM m),
+l AS (SELECT domain, rule, CAST(bad AS BIGINT) AS bad FROM (UNPIVOT (SELECT domain, few, again, symbols, lines, length FROM f) ON few, again, symbols, lines, length INTO NAME rule VALUE bad)),
+h AS (SELECT domain, rule, count(*) * 1e0 AS n, sum(bad) * 1e0 AS y FROM l GROUP BY domain, rule),
+q AS (SELECT rule, sum(y) / sum(n) AS m FROM h GROUP BY rule HAVING sum(y) > 0 AND sum(y) < sum(n)),
+o AS (SELECT rule, any_value(m) AS m, 1 / greatest(0.001e0, least(0.9e0, coalesce((sum(n * pow(y / n - m, 2) / (m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0), 0.05e0))) - 1 AS k FROM h JOIN q USING (rule) GROUP BY rule),
+b AS (SELECT domain, m, y + k * m AS a, n - y + k * (1 - m) AS b FROM h JOIN o USING (rule)),
+v AS (SELECT domain, bool_or(a / (a + b) - 1.645e0 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > greatest(0.1e0, 2e0 * m)) AS bad FROM b GROUP BY domain)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR again AS base_failed, NOT (few OR again) AND NOT coalesce(v.bad, false) AS kept,
+  f.domain, coalesce(v.bad, false) AS host_failed FROM f LEFT JOIN v ON f.domain IS NOT DISTINCT FROM v.domain"""
