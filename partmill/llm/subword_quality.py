@@ -9,8 +9,10 @@ With two classes the layer needs only the difference of its rows, so for scoring
 folded into one number, and a document's score is the logistic of the average of its features'
 numbers. The fold is exact.
 
-Training reads labelled rows only, at most `per_class` of each class, chosen by hash among those
-not held out; that bound is the only sample. Scoring reads every whole text.
+Training reads labelled rows only, at most `per_class` of each class, chosen by hash among those not
+held out, and of these the shortest texts that have `max_chars` characters together; these bounds
+are the only sample. One
+task trains, so neither texts nor features come to the driver. Scoring reads every whole text.
 
 Defined cases: null text is empty; a text without words has no features and gets the score of the
 layer's bias. Of the rows that repeat a labelled id one is trained on, chosen by hash of its text. Documents labelled both ways are not trained on. With fewer than two classes to
@@ -29,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, held_out
@@ -130,9 +132,12 @@ def train(texts: list[str], labels: list[int], dim: int = 12, epochs: int = 6, r
     return Model((vectors @ difference).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id",
-                  text_col: str = "text") -> list[tuple[str, int]]:
-    """At most per_class (text, label) of each class, by hash of the id, none of them held out."""
+MAX_CHARS = 16_000_000
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id",
+                    text_col: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
+    """(id, text, label) of at most per_class documents of each class, by hash of the id, none of them held out."""
     voted = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(
         F.min(label).alias("low"), F.max(label).alias("high")).where("low = high")
     order = F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")
@@ -145,15 +150,36 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
         chosen, F.col("id") == F.col("label_id"))
     # An id may repeat without bound: one row of each, combined before the shuffle, so the bound holds for rows too.
-    rows = rows.groupBy("label_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select(
-        F.col("label_id").alias("id"), "x.text", "label").collect()
+    rows = rows.groupBy("label_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    return whole_texts_within(rows.select(F.col("label_id").alias("id"), "x.text", "label"), "label", "id", max_chars)
+
+
+def whole_texts_within(rows: DataFrame, side: str, key: str, max_chars: int) -> DataFrame:
+    """All rows of each side, or its shortest texts that have at most max_chars characters together."""
+    before = Window.partitionBy(side).orderBy(F.char_length("text"), F.xxhash64(F.col(key).cast("string")), key).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_upto", F.sum(F.char_length("text")).over(before)).where(F.col("_upto") <= max_chars).drop("_upto")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *args, **options) -> list[tuple[str, int]]:
+    """The sample as (text, label), in the order of the ids as text."""
+    rows = training_sample(docs, labels, label, per_class, *args, **options).collect()
     rows.sort(key=lambda r: (str(r["id"]), r["text"]))
     return [(r["text"], r["label"]) for r in rows]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, **options) -> Model:
-    rows = training_rows(docs, labels, label, per_class, **options)
-    return train([t for t, _ in rows], [y for _, y in rows])
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        rows.sort(key=lambda r: (r["name"], r["text"]))
+        model = train([r["text"] for r in rows], [r["label"] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["weights", "bias"])
+    sample = training_sample(docs, labels, label, per_class, **options)
+    sample = sample.select(F.col("id").cast("string").alias("name"), "text", "label")
+    row = sample.repartition(1).mapInArrow(fit, "weights binary, bias double").first()
+    if row is None:  # no task ran
+        return train([], [])
+    return Model(np.frombuffer(bytes(row["weights"]), np.float32), row["bias"])
 
 
 def score_column(model: Model, text: Column) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..scale import materialize
 from .common import held_out
-from .subword_quality import training_rows
+from .subword_quality import MAX_CHARS, training_rows, whole_texts_within
 
 # Everyday insults, by language and theme; general vocabulary, not taken from the data.
 LEXICONS = {
@@ -269,10 +269,10 @@ def train_linear(texts: list[str], posterior: list[float], most: int = 20_000, l
     return Linear({t: float(x) for t, x in zip(kept, w) if abs(x) > 1e-3}, float(bias))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, per_side: int = 1500,
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, per_side: int = 1500, max_chars: int = MAX_CHARS,
                  id_col: str = "doc_id", text_col: str = "text") -> Linear:
     """Voters, label model, and the classifier trained on its posterior labels."""
-    sample = training_rows(docs, labels, "toxic", per_class, id_col, text_col)
+    sample = training_rows(docs, labels, "toxic", per_class, id_col, text_col, max_chars)
     voters = make_voters(sample)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +297,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, per_
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most twice per_side keys: a broadcast of proven size.
     # Rows that repeat a key are equal: one of each, combined before the shuffle, so the bound holds for rows too.
-    rows = docs.select(text, k).join(F.broadcast(chosen), "k").groupBy("k", "p").agg(F.min("text").alias("text")).collect()
+    rows = docs.select(text, k).join(F.broadcast(chosen), "k").groupBy("k", "p").agg(F.min("text").alias("text"))
+    rows = whole_texts_within(rows.withColumn("side", F.col("p") > 0.5), "side", "k", max_chars).collect()
     rows.sort(key=lambda r: r["k"])
     return train_linear([r["text"] for r in rows], [r["p"] for r in rows])
 

@@ -95,7 +95,7 @@ def test_queries_match_sql(spark, name):
 
 
 def test_queries_are_registered():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in entry.queries()) == 1
     assert "pipeline" in entry.queries()
 
