@@ -11,7 +11,7 @@ from ..functions.text import (brand_conflict_strict, first_real_brand, fold_enti
                               is_missing_entity, is_placeholder_brand, strip)
 from ..scale import lookup, materialize
 from ..sources.dimensions import first_wins
-from .matching import fuzzy_pairs
+from .matching import gram_pairs, gram_rows, sorted_tokens
 
 MATCH = ["canonical", "confidence", "method", "status"]
 
@@ -27,18 +27,33 @@ def normalized_match(names: DataFrame, aliases: DataFrame, key: str = "name_key"
     return names.join(lookup(dim), key)
 
 
+#: Bands of scores, searched from above, and how many rare bigrams make a key in each.
+BANDS = ((95.0, 3), (88.0, 3), (ENTITY_POSSIBLE, 2))
+
+
 def fuzzy_scores(names: DataFrame, aliases: DataFrame, key: str = "name_key") -> DataFrame:
-    """Best alias per name by token_sort_ratio among the pairs that can reach 80."""
-    pairs = fuzzy_pairs(names, aliases, key, "alias_key")
-    scored = pairs.withColumn("score", token_sort_ratio(F.col(key), F.col("alias_key")))
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "entry", "position")
+    """Best alias per name by token_sort_ratio, of at least 80.
+
+    Every pair of a band is found, so a name that scores there is done with: the lower bands, where
+    names of one pattern are all alike, are searched only for names without a close alias.
+    """
     catalog = aliases.select("entry", "position", "canonical", "alias_key")
-    return (
-        scored.where(F.col("score") >= ENTITY_POSSIBLE)
-        .join(lookup(catalog), "alias_key")
-        .withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
-        .select(key, "canonical", "score")
-    )
+    right = materialize(gram_rows(catalog, "alias_key", sorted_tokens(F.col("alias_key"))), "grams")
+    left = materialize(gram_rows(names, key, sorted_tokens(F.col(key))), "name-grams")
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "entry", "position")
+    found = None
+    for least, together in BANDS:
+        pairs = gram_pairs(left, right, key, "alias_key", least, together)
+        scored = pairs.withColumn("score", token_sort_ratio(F.col(key), F.col("alias_key"))).where(F.col("score") >= least)
+        best = scored.join(lookup(catalog), "alias_key").withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
+        best = materialize(best.select(key, "canonical", "score"), "band")
+        found = best if found is None else found.unionByName(best)
+        left = left.join(lookup(best.select(key)), key, "left_anti")
+        if least > ENTITY_POSSIBLE:
+            left = materialize(left, "name-grams")
+            if left.isEmpty():
+                break
+    return found
 
 
 def match_names(names: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:

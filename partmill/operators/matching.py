@@ -11,66 +11,113 @@ from pyspark.sql import functions as F
 
 from ..scale import lookup, materialize
 
-SHORT = 5
-
 
 def sorted_tokens(c: Column) -> Column:
     return F.array_join(F.array_sort(F.split(c, " ")), " ")
 
 
-def _grams(c: Column, size: int) -> Column:
-    """Grams numbered by occurrence, so a repeated gram counts as often as it occurs."""
-    n = F.length(c) - (size - 1)
-    plain = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, F.lit(size)))
-    numbered = F.transform(
-        plain, lambda g, i: F.concat(g, F.lit("\u0001"), F.size(
-            F.filter(F.slice(plain, F.lit(1), i), lambda h: h == g)).cast("string")))
-    return F.when(n >= 1, numbered).otherwise(F.array().cast("array<string>"))
+def _grams(c: Column) -> Column:
+    """Bigrams of a string set between blanks, numbered by occurrence, so a repeated one counts as often as it occurs.
+
+    Every bigram touches at most one blank, so the order of the words does not matter.
+    """
+    framed = F.concat(F.lit(" "), c, F.lit(" "))
+    plain = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(framed) - 1), lambda i: F.substring(framed, i, F.lit(2))))
+    return F.transform(plain, lambda g, i: F.concat(g, (i - F.array_position(plain, g)).cast("string")))
+
+
+def _grams_shared(lengths: Column, least: float) -> Column:
+    """How many bigrams two strings of these lengths together have in common if their ratio reaches `least`.
+
+    Let L be the longest common subsequence of the strings between their blanks, S their length
+    together and r the ratio: every one of the S - 2 L characters left over breaks at most one of the
+    L - 1 steps between matched characters, so 3 L - S - 1 steps are bigrams of both. Without the
+    blanks (L and S smaller by 2 and 4) that is at least (3 r / 200 - 1) S + 1. The same bound holds
+    for the words that two sets do not share together with those they do.
+    """
+    return F.ceil((3 * least / 200 - 1) * lengths + 1 - 1e-9).cast("int")
+
+
+def gram_rows(strings: DataFrame, key: str, text: Column) -> DataFrame:
+    """Distinct keys with the length and bigrams of their text: key, _n, _g."""
+    return strings.select(key).where(F.col(key) != "").distinct().withColumn("_s", text).select(
+        key, F.length("_s").alias("_n"), F.explode(_grams(F.col("_s"))).alias("_g"))
+
+
+def _gram_keys(grams: DataFrame, frequency: DataFrame, key: str, least: float, together: int) -> DataFrame:
+    """(key, _n, _all, _k): a string's bigrams as hashes, and hashes of every `together` of its rarest ones.
+
+    A partner has at least r / (200 - r) of a string's length. Of strings that share c bigrams, those
+    left after taking c - together away still share `together`, so only the rarest ones of each side
+    are combined.
+    """
+    ranked = grams.join(lookup(frequency), "_g", "left").groupBy(key, "_n").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_g").alias("g")))).alias("_all"))
+    partner = F.ceil(F.col("_n") * (least / (200 - least)) - 1e-9)
+    few = F.greatest(F.size("_all") - _grams_shared(F.col("_n") + partner, least) + together, F.lit(together))
+    ranked = ranked.select(key, "_n", few.alias("_few"), F.transform("_all", lambda x: F.xxhash64(x["g"])).alias("_all"))
+    ranked = ranked.withColumn("_p", F.slice("_all", F.lit(1), F.col("_few")))
+    combined = "transform(_p, (x, i) -> struct(x AS h, i))"
+    for _ in range(together - 1):  # append every later bigram
+        combined = (f"flatten(transform({combined}, c -> transform(filter(transform(_p, (y, j) -> struct(y AS h, j)), y -> y.j > c.i), "
+                    "y -> struct(xxhash64(c.h, y.h) AS h, y.j AS i))))")
+    short = F.size("_p") < together  # both strings have so few bigrams only if they share them all
+    keys = F.when(short, F.array(F.xxhash64("_p"))).otherwise(F.transform(F.expr(combined), lambda c: c["h"]))
+    return ranked.select(key, "_n", "_all", F.explode(F.array_distinct(keys)).alias("_k"))
+
+
+def gram_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float, together: int = 3) -> DataFrame:
+    """Distinct (left_key, right_key) that can reach the ratio `least`, from rows of gram_rows.
+
+    Frequencies are those of the right side. Strings that meet in a key go on when they have as many
+    bigrams in common as the ratio asks for. A combination of common bigrams is used only by strings
+    that have nothing rarer; joins on it may be split, as no step needs a key's rows together.
+    """
+    frequency = right.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    a = _gram_keys(left, frequency, left_key, least, together).withColumnsRenamed({"_n": "_m", "_all": "_ours"})
+    b = _gram_keys(right, frequency, right_key, least, together)
+    near = F.least("_m", "_n") * 2 >= (F.col("_m") + F.col("_n")) * (least / 100) - 1e-9
+    alike = F.size(F.array_intersect("_ours", "_all")) >= _grams_shared(F.col("_m") + F.col("_n"), least)
+    return a.join(lookup(materialize(b, "gram-keys")), "_k").where(near).where(alike).select(left_key, right_key).distinct()
+
+
+def _words(strings: DataFrame, key: str) -> DataFrame:
+    """Distinct keys with their distinct words: key, _t, _n (length of the words with blanks between)."""
+    words = F.array_distinct(F.filter(F.split(key, " "), lambda w: w != ""))
+    return strings.select(key).where(F.col(key) != "").distinct().select(key, words.alias("_w")).select(
+        key, F.explode("_w").alias("_t"), F.length(F.array_join("_w", " ")).alias("_n"))
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Distinct (left_key, right_key) pairs that can reach token_sort_ratio >= 80.
+def _covered(covered: DataFrame, covering: DataFrame, frequency: DataFrame, key: str, other: str, least: float) -> DataFrame:
+    """Distinct pairs whose shared words leave so little of `key` that the ratio reaches `least`.
 
-    With S = len(a) + len(b) and ratio r >= 0.8, LCS >= 0.4 S and at most 0.2 S breaks
-    interrupt it, so at least LCS - breaks - 1 >= 0.2 S - 1 adjacent pairs are shared.
-    The partner is at least 2/3 as long, hence a string of length m shares at least
-    m/3 - 1 bigrams with it, and one of its rarest (bigrams - needed + 1) must match.
-    Strings up to five characters are blocked on single characters instead.
+    A string of length n whose shared words have length s scores 100 - 100 (n - s) / (n + s), so s is
+    at least n r / (200 - r). The rarest words that are longer together than the rest of n cannot all
+    be missing: one of them is a key. What the pair shares is then added up.
     """
-    a = left.select(left_key).distinct().withColumn("_a", sorted_tokens(F.col(left_key)))
-    a = a.where(F.col(left_key) != "").withColumn("_m", F.length("_a"))
-    b = right.select(right_key).distinct().withColumn("_b", sorted_tokens(F.col(right_key)))
-    b = b.where(F.col(right_key) != "").withColumn("_n", F.length("_b"))
-
-    right_grams = b.select(right_key, "_n", F.explode(_grams(F.col("_b"), 2)).alias("_g")).unionByName(
-        b.where(F.col("_n") <= SHORT * 3 // 2).select(
-            right_key, "_n", F.explode(_grams(F.col("_b"), 1)).alias("_g")))
-    # The catalog side is small and read twice; written once, its size is known.
-    right_grams = materialize(right_grams, "grams")
-    frequency = right_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-
-    size = F.when(F.col("_m") > SHORT, _grams(F.col("_a"), 2)).otherwise(_grams(F.col("_a"), 1))
-    left_grams = a.select(left_key, "_m", F.posexplode(size).alias("_pos", "_g"))
-    needed = F.when(F.col("_m") > SHORT, F.greatest(F.floor(F.col("_m") / 3 - 1), F.lit(1))).otherwise(F.lit(1))
-    per_key = Window.partitionBy(left_key)
-    rare_first = per_key.orderBy(F.coalesce("_df", F.lit(0)), "_pos")
-    prefix = (
-        left_grams.join(lookup(frequency), "_g", "left")
-        .withColumn("_rn", F.row_number().over(rare_first))
-        .withColumn("_total", F.count(F.lit(1)).over(per_key))
-        .where(F.col("_df").isNotNull() & (F.col("_rn") <= F.col("_total") - needed + 1))
-        .select(left_key, "_m", "_g")
-    )
-    close = (F.least("_m", "_n") * 2 >= (F.col("_m") + F.col("_n")) * 0.8)
-    return prefix.join(lookup(right_grams), "_g").where(close).select(left_key, right_key).distinct()
-
-
-def token_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Distinct pairs that share at least one whole token."""
-    a = left.select(left_key).distinct().select(left_key, F.explode(F.array_distinct(F.split(left_key, " "))).alias("_t"))
-    b = right.select(right_key).distinct().select(right_key, F.explode(F.array_distinct(F.split(right_key, " "))).alias("_t"))
-    return (a.where("_t <> ''").join(lookup(b.where("_t <> ''")), "_t")
-            .select(left_key, right_key).distinct())
+    share = least / (200 - least)
+    order = Window.partitionBy(key).orderBy(F.coalesce("_df", F.lit(0)), "_t")
+    ranked = covered.join(lookup(frequency), "_t", "left").withColumn(
+        "_before", F.coalesce(F.sum(F.length("_t") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rare = ranked.where(F.col("_before") <= F.col("_n") * (1 - share) + 1e-9).select(key, "_t")
+    met = rare.join(lookup(covering.select(other, "_t")), "_t").select(key, other).distinct()
+    shared = met.join(covered, key).join(covering.select(other, "_t"), [other, "_t"]).groupBy(key, other, "_n").agg(
+        (F.sum(F.length("_t") + 1) - 1).alias("_s"))
+    return shared.where(F.col("_s") >= F.col("_n") * share - 1e-9).select(key, other)
+
+
+def token_set_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float = 90.0) -> DataFrame:
+    """Distinct (left_key, right_key) that can reach token_set_ratio >= `least`: one side's words all but
+    cover the other's, or what the words do not share is alike."""
+    a, b = materialize(_words(left, left_key), "left-words"), materialize(_words(right, right_key), "right-words")
+    count = F.count(F.lit(1)).alias("_df")
+    ours = _covered(a, b, b.groupBy("_t").agg(count), left_key, right_key, least)
+    theirs = _covered(b, a, a.groupBy("_t").agg(count), right_key, left_key, least)
+    text = lambda c: F.array_join(F.array_sort(F.array_distinct(F.split(c, " "))), " ")
+    alike = gram_pairs(gram_rows(left, left_key, text(left_key)), materialize(gram_rows(right, right_key, text(right_key)), "grams"),
+                       left_key, right_key, least)
+    pairs = ours.select(left_key, right_key).unionByName(theirs.select(left_key, right_key))
+    return pairs.unionByName(alike).distinct()
 
 
 def _label_anchor(label: Column) -> Column:

@@ -9,7 +9,7 @@ from ..constants import CLASSIFY_HIGH
 from ..functions.similarity import token_set_ratio
 from ..functions.text import display_text, fold_entity_name, has_text, plural_key, strip
 from ..scale import lookup, materialize
-from .matching import contained_labels, fuzzy_pairs, token_pairs
+from .matching import contained_labels, token_set_pairs
 
 METHOD_RANK = {"exact": 5, "normalized_exact": 4, "alias_containment": 3, "rapidfuzz": 2, "keyword": 1}
 
@@ -46,12 +46,8 @@ def _best(rows: DataFrame, key: str) -> DataFrame:
 
 
 def token_set_tier(types: DataFrame, labels: DataFrame) -> DataFrame:
-    """(type_key, node, position) where token_set_ratio reaches 90.
-
-    A pair either shares a token, or its whole sorted strings are at least 90 alike.
-    """
-    pairs = token_pairs(types, labels, "type_key", "label_key").unionByName(
-        fuzzy_pairs(types, labels, "type_key", "label_key")).distinct()
+    """(type_key, node, position) where token_set_ratio reaches 90."""
+    pairs = token_set_pairs(types, labels, "type_key", "label_key", 90.0)
     scored = pairs.withColumn("ratio", token_set_ratio(F.col("type_key"), F.col("label_key")))
     return scored.where(F.col("ratio") >= 90.0).join(lookup(labels), "label_key").select(
         "type_key", "node", "position", "ratio")

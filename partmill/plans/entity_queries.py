@@ -15,18 +15,24 @@ from .registry import query
 NOBRAND = "('-- unbranded --','-- no unilog brand --','-- no dib brand --','-- no brand --')"
 NOENTITY = "('-','--','n/a','na','none','unknown','null')"
 BRAND_DIM = f"""bx AS (SELECT canonical, alias FROM brand_alias WHERE priority <> 2),
-bk AS (SELECT DISTINCT canonical, {q.entity_key('alias')} AS k FROM brand_alias)"""
+bk AS (SELECT DISTINCT canonical, {q.entity_key('alias')} AS k FROM brand_alias),
+bp AS (SELECT canonical, {q.entity_key('alias')} AS k, priority AS position FROM brand_alias)"""
 MAKER_DIM = f"""mx AS (SELECT canonical, alias FROM manufacturer_alias UNION SELECT canonical, canonical FROM manufacturer_alias),
-mk AS (SELECT DISTINCT canonical, {q.entity_key('alias')} AS k FROM mx)"""
+mk AS (SELECT DISTINCT canonical, {q.entity_key('alias')} AS k FROM mx),
+mp AS (SELECT canonical, {q.entity_key('alias')} AS k, CASE WHEN alias = canonical THEN 0 ELSE 1 END AS position FROM mx)"""
 
 
-def matched(name: str, exact: str, keyed: str, out: str, src: str, key: str) -> str:
-    """CTE `out`: (key, name, canonical, confidence, method, status) by the equality tiers."""
-    return f"""{out} AS (SELECT s.{key}, trim({name}) AS name, coalesce(x.canonical, k.canonical) AS canonical,
-  CASE WHEN x.canonical IS NOT NULL THEN 1.0e0 WHEN k.canonical IS NOT NULL THEN 0.99e0 ELSE 0.71e0 END AS confidence,
-  CASE WHEN x.canonical IS NOT NULL THEN 'exact' WHEN k.canonical IS NOT NULL THEN 'normalized_exact_match' ELSE 'unknown_entity' END AS method,
-  CASE WHEN x.canonical IS NOT NULL OR k.canonical IS NOT NULL THEN 'RESOLVED' ELSE 'REVIEW_REQUIRED' END AS status
-  FROM {src} s LEFT JOIN {exact} x ON x.alias = trim({name}) LEFT JOIN {keyed} k ON k.k = {q.entity_key(name)})"""
+def matched(name: str, exact: str, keyed: str, fuzzy: str, out: str, src: str, key: str) -> str:
+    """CTEs ending in `out`: (key, name, canonical, confidence, method, status) by equality, else by similarity."""
+    folded = q.entity_key(name)
+    left_over = f"""SELECT {folded} AS key FROM {src} s LEFT JOIN {exact} x ON x.alias = trim({name}) LEFT JOIN {keyed} k ON k.k = {folded}
+    WHERE x.canonical IS NULL AND k.canonical IS NULL AND {name} IS NOT NULL"""
+    return f"""{q.fuzzy_ctes(out + '_f', left_over, f'SELECT canonical, k, position FROM {fuzzy}')},
+{out} AS (SELECT s.{key}, trim({name}) AS name, coalesce(x.canonical, k.canonical, f.canonical) AS canonical,
+  CASE WHEN x.canonical IS NOT NULL THEN 1.0e0 WHEN k.canonical IS NOT NULL THEN 0.99e0 WHEN f.score IS NOT NULL THEN round(f.score / 100, 4) ELSE 0.71e0 END AS confidence,
+  CASE WHEN x.canonical IS NOT NULL THEN 'exact' WHEN k.canonical IS NOT NULL THEN 'normalized_exact_match' WHEN f.score IS NOT NULL THEN 'rapidfuzz' ELSE 'unknown_entity' END AS method,
+  CASE WHEN x.canonical IS NOT NULL OR k.canonical IS NOT NULL OR f.score >= 92 THEN 'RESOLVED' ELSE 'REVIEW_REQUIRED' END AS status
+  FROM {src} s LEFT JOIN {exact} x ON x.alias = trim({name}) LEFT JOIN {keyed} k ON k.k = {folded} LEFT JOIN {out}_f f ON f.key = {folded})"""
 
 
 @query("joi_01_exact_alias", "valid_products brand_alias", f"""WITH {BRAND_DIM}
@@ -45,19 +51,23 @@ def normalized_name(t: Tables):
     return entities.normalized_match(names, dims.maker_catalog(t)).select("product_id", "name_key", "canonical")
 
 
-@query("joi_03_fuzzy_best_match")
+MISSPELT = """SELECT DISTINCT left(p_name, CAST(2 + p_partkey % 3 AS INT)) || substr(p_name, CAST(4 + p_partkey % 3 AS INT)) AS key FROM part
+  UNION SELECT lower(replace(s_name, '#', ' ')) || ' inx' FROM supplier UNION SELECT lower(replace(s_name, '#', ' no ')) FROM supplier"""
+CATALOG = "SELECT p_name AS canonical, p_name AS alias FROM part UNION SELECT s_name, lower(replace(s_name, '#', ' ')) || ' inc' FROM supplier"
+
+
+@query("joi_03_fuzzy_best_match", "", f"""WITH c AS ({CATALOG}),
+{q.fuzzy_ctes('best', MISSPELT, f"SELECT canonical, {q.entity_key('alias')} AS k, CASE WHEN alias = canonical THEN 0 ELSE 1 END AS position FROM (SELECT * FROM c UNION SELECT canonical, canonical FROM c)")}
+SELECT key AS name_key, canonical, round(score, 4) AS score FROM best""")
 def fuzzy_best(t: Tables):
-    """JOI-03: part names with one character dropped against the part-name catalog (rows only;
-    tests compare with brute force)."""
-    cut = F.concat(F.expr("left(p_name, 2 + p_partkey % 3)"), F.expr("substr(p_name, 4 + p_partkey % 3)"))
-    names = t.part.select(cut.alias("name_key")).distinct()
-    catalog = dims.catalog(t.part.select(F.col("p_name").alias("canonical"), F.col("p_name").alias("alias"), F.lit(1).alias("priority")).distinct())
-    best = entities.fuzzy_scores(names, catalog)
+    """JOI-03: part names with a character dropped and supplier names of one pattern with another ending, against the catalog of both."""
+    catalog = dims.catalog(t.sql(CATALOG).withColumn("priority", F.lit(1)))
+    best = entities.fuzzy_scores(t.sql(MISSPELT).withColumnRenamed("key", "name_key"), catalog)
     return best.select("name_key", "canonical", F.round("score", 4).alias("score"))
 
 
 @query("joi_04_match_cascade", "understood brand_alias", f"""WITH {BRAND_DIM}, n AS (SELECT DISTINCT trim(brand_candidate) AS name FROM understood WHERE trim(brand_candidate) <> ''),
-{matched('s.name', 'bx', 'bk', 'm', 'n', 'name')} SELECT DISTINCT name, canonical, confidence, method, status FROM m""")
+{matched('s.name', 'bx', 'bk', 'bp', 'm', 'n', 'name')} SELECT DISTINCT name, canonical, confidence, method, status FROM m""")
 def cascade(t: Tables):
     """JOI-04: exact, normalized, fuzzy, unknown over distinct names."""
     return entities.match_names(t.understood.select(F.col("brand_candidate").alias("name")), dims.brand_catalog(t))
@@ -68,7 +78,7 @@ def ladder(product_cols: str = "") -> str:
 u AS (SELECT *, coalesce(CASE WHEN lower(trim(brand_1)) NOT IN {NOBRAND} THEN brand_1 END, CASE WHEN lower(trim(brand_2)) NOT IN {NOBRAND} THEN brand_2 END) AS s_name,
   CASE WHEN lower(trim(brand_candidate)) NOT IN {NOBRAND} THEN brand_candidate END AS d_name,
   CASE WHEN lower(trim(coalesce(manufacturer_candidate, manufacturer))) NOT IN {NOENTITY} THEN coalesce(manufacturer_candidate, manufacturer) END AS m_name FROM understood),
-{matched('s_name', 'bx', 'bk', 'sm', 'u', 'product_id')}, {matched('d_name', 'bx', 'bk', 'dm', 'u', 'product_id')}, {matched('m_name', 'mx', 'mk', 'mm', 'u', 'product_id')},
+{matched('s_name', 'bx', 'bk', 'bp', 'sm', 'u', 'product_id')}, {matched('d_name', 'bx', 'bk', 'bp', 'dm', 'u', 'product_id')}, {matched('m_name', 'mx', 'mk', 'mp', 'mm', 'u', 'product_id')},
 j AS (SELECT u.*, sm.canonical AS sc, sm.confidence AS sf, sm.method AS sme, sm.status AS ss, dm.canonical AS dc, dm.confidence AS df, dm.method AS dme, dm.status AS ds,
   mm.canonical AS mc, mm.confidence AS mf, mm.method AS mme, mm.status AS ms FROM u JOIN sm USING (product_id) JOIN dm USING (product_id) JOIN mm USING (product_id)),
 b AS (SELECT *, CASE WHEN s_name IS NOT NULL AND d_name IS NOT NULL AND coalesce(lower(sc) <> lower(dc), false) THEN 1 WHEN d_name IS NOT NULL AND ds = 'RESOLVED' THEN 2

@@ -55,8 +55,8 @@ SELECT o_orderkey AS review_id, o_custkey AS product_id, o_orderpriority AS issu
     "understood": ("valid_products", """
 SELECT v.product_id, v.mpn, v.description, brand_1, brand_2, brand_3, manufacturer,
   CASE WHEN v.product_id % 8 = 0 THEN NULL WHEN v.product_id % 8 = 1 THEN '-- Unbranded --' WHEN v.product_id % 8 = 2 THEN upper(p_brand)
-       WHEN v.product_id % 8 = 3 THEN 'Brand#1' WHEN v.product_id % 8 = 4 THEN 'Acme Industrial' ELSE p_brand END AS brand_candidate,
-  CASE WHEN v.product_id % 9 = 0 THEN 'Unknown' WHEN v.product_id % 9 < 4 THEN NULL ELSE manufacturer END AS manufacturer_candidate,
+       WHEN v.product_id % 8 = 3 THEN 'Brand#1' WHEN v.product_id % 16 = 4 THEN 'Acme Industrial' WHEN v.product_id % 16 = 12 THEN replace(p_brand, 'Brand', 'Brnd') ELSE p_brand END AS brand_candidate,
+  CASE WHEN v.product_id % 9 = 0 THEN 'Unknown' WHEN v.product_id % 9 < 4 THEN NULL WHEN v.product_id % 9 = 4 THEN replace(manufacturer, 'Supplier', 'Suplier') ELSE manufacturer END AS manufacturer_candidate,
   CASE WHEN v.product_id % 6 = 0 THEN split_part(p_name, ' ', 2) || 's' WHEN v.product_id % 6 = 1 THEN upper(p_name) || ' set'
        WHEN v.product_id % 6 = 2 THEN 'sprocket' WHEN v.product_id % 6 = 3 THEN NULL ELSE split_part(p_name, ' ', 2) END AS product_type
 FROM valid_products v JOIN part ON p_partkey = v.product_id"""),

@@ -26,6 +26,34 @@ def display(c: str) -> str:
     return f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
 
 
+def masks_cte(out: str, strings: str) -> str:
+    """CTE `out`: (s, masks) for the query `strings` (s): a bit for each place of each character."""
+    return f"""{out} AS (SELECT s, map_from_entries(list((ch, m))) AS masks FROM (
+  SELECT s, ch, CAST(sum(CAST(1 AS BIGINT) << (i - 1)) AS BIGINT) AS m FROM (
+    SELECT s, unnest(string_split(s, '')) AS ch, generate_subscripts(string_split(s, ''), 1) AS i FROM ({strings})) GROUP BY s, ch) GROUP BY s)"""
+
+
+def lcs(a: str, masks: str, b: str) -> str:
+    """Length of the longest common subsequence of a (up to 60 characters, with its masks) and b."""
+    full = f"((CAST(1 AS BIGINT) << length({a})) - 1)"
+    steps = f"[{full}] || list_transform(string_split({b}, ''), lambda ch_: coalesce({masks}[ch_], 0))"
+    return f"(length({a}) - bit_count(list_reduce({steps}, lambda st_, bits_: ((st_ + (st_ & bits_)) | (st_ - (st_ & bits_))) & {full})))"
+
+
+def token_order(c: str) -> str:
+    return f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+
+
+def fuzzy_ctes(out: str, names: str, catalog: str) -> str:
+    """CTEs ending in `out` (key, canonical, score): the best of `catalog` (canonical, k, position) for `names` (key), at least 80."""
+    return f"""{out}_n AS (SELECT DISTINCT key, {token_order('key')} AS s FROM ({names}) WHERE key <> ''),
+{masks_cte(out + '_m', f'SELECT DISTINCT s FROM {out}_n')},
+{out}_c AS (SELECT DISTINCT canonical, k, position, {token_order('k')} AS t FROM ({catalog}) WHERE k <> ''),
+{out}_s AS (SELECT n.key, c.canonical, c.position, 200.0e0 * {lcs('n.s', 'm.masks', 'c.t')} / (length(n.s) + length(c.t)) AS score
+  FROM {out}_n n JOIN {out}_m m USING (s) JOIN {out}_c c ON levenshtein(n.s, c.t) <= 0.2 * (length(n.s) + length(c.t)) + 0.001),
+{out} AS (SELECT key, canonical, score FROM {out}_s WHERE score >= 80 QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, canonical, position) = 1)"""
+
+
 UNIT_VALUES = """('in','in'),('in.','in'),('inch','in'),('inches','in'),('"','in'),('ft','ft'),('ft.','ft'),('foot','ft'),('feet','ft'),('''','ft'),
 ('mm','mm'),('millimeter','mm'),('millimeters','mm'),('cm','cm'),('centimeter','cm'),('centimeters','cm'),('v','V'),('volt','V'),('volts','V'),('vac','V'),
 ('a','A'),('amp','A'),('amps','A'),('ampere','A'),('amperes','A'),('dba','dBA'),('db(a)','dBA'),('ea','EA'),('each','EA'),('pc','EA'),('pcs','EA'),

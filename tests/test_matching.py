@@ -34,25 +34,46 @@ def names(seed, n):
     return sorted(out)
 
 
-def test_fuzzy_pairs_lose_nothing(spark):
-    left, right = names(1, 220), names(2, 160)
-    a = spark.createDataFrame([(x,) for x in left], "a string")
-    b = spark.createDataFrame([(x,) for x in right], "b string")
-    got = {(r.a, r.b) for r in matching.fuzzy_pairs(a, b, "a", "b").collect()}
-    want = {(x, y) for x in left for y in right if sort_ratio(x, y) >= 80}
-    assert len(want) > 50
+@pytest.mark.parametrize("least,together", [(80.0, 2), (88.0, 3), (95.0, 3)])
+def test_gram_pairs_lose_nothing(spark, least, together):
+    short = ["a", "b", "ab", "ba", "a b", "abc", "b a c", "aaaa", "aaaaa", "a a a"]
+    left, right = names(1, 220) + short, names(2, 160) + short
+    rows = lambda values, c: matching.gram_rows(spark.createDataFrame([(x,) for x in values], f"{c} string"), c, matching.sorted_tokens(F.col(c)))
+    got = {(r.a, r.b) for r in matching.gram_pairs(rows(left, "a"), rows(right, "b"), "a", "b", least, together).collect()}
+    want = {(x, y) for x in left for y in right if sort_ratio(x, y) >= least}
+    assert len(want) > 20
     assert want <= got
-    assert len(got) < len(left) * len(right)
+    assert len(got) < len(left) * len(right) / 2
+
+
+def test_gram_pairs_grow_with_the_names(spark):
+    """Names of one pattern: the band of their best matches holds a few pairs a name, not all pairs."""
+    counts = []
+    for n in (250, 500, 1000):
+        rows = lambda end, c: matching.gram_rows(spark.range(n).select(
+            F.format_string(f"supplier %09d {end}", "id").alias(c)), c, matching.sorted_tokens(F.col(c)))
+        pairs = matching.gram_pairs(rows("inx", "a"), rows("inc", "b"), "a", "b", *entities.BANDS[0])
+        counts.append(pairs.count())
+    assert counts[0] >= 250 and counts[2] <= 4.5 * counts[0] and counts[2] <= 2 * 1000
 
 
 def test_token_set_candidates_lose_nothing(spark):
-    left, right = names(3, 150), names(4, 120)
+    extra = ["a", "b c", "a b c d", "x y z", "z", "1 2", "1", "ab cd", "cd ab", "abcdefghij xyz", "abcdefghik xyz"]
+    left, right = names(3, 150) + extra, names(4, 120) + extra
     labels = spark.createDataFrame([(i, 0, x) for i, x in enumerate(right)], "node int, position int, label_key string")
     types = spark.createDataFrame([(x,) for x in left], "type_key string")
     got = {(r.type_key, right[r.node]) for r in taxonomy.token_set_tier(types, labels).collect()}
     assert got == {(x, y) for x in left for y in right if set_ratio(x, y) >= 90}
 
 
+def test_common_words_alone_make_no_pair(spark):
+    rnd = random.Random(9)
+    left = ["industrial supplier unit " + "".join(rnd.choice("abcdefghijklmnop") for _ in range(14)) for _ in range(200)]
+    a, b = (spark.createDataFrame([(x,) for x in left], f"{c} string") for c in "ab")
+    got = {(r.a, r.b) for r in matching.token_set_pairs(a, b, "a", "b", 90.0).collect()}
+    assert {(x, y) for x in left for y in left if set_ratio(x, y) >= 90} <= got and len(got) < 2 * len(left)
+
+
 def test_contained_labels_match_brute_force(spark):
     texts, labels = names(5, 200), names(6, 200)
     a = spark.createDataFrame([(f"{x} sanding {x}",) for x in texts], "t string")
