@@ -12,7 +12,8 @@ from ..constants import CHUNK_OVERLAP, CHUNK_SIZE, EVIDENCE_TOP_K, INPUT_STRONG_
 from ..functions.embedding import cosine, dot, hash_vector
 from ..functions.html import read_page, split_chunks
 from ..functions.text import appears_in, has_text, strip
-from ..functions.values import is_spec_type_code, stage, with_title_candidates
+from ..functions.titles import with_title_candidates
+from ..functions.values import is_spec_type_code, stage
 from ..scale import planned_bytes
 from .evidence import expand_template
 from .normalization import Vocabulary, approved_type_from_title

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EVIDENCE_AUTHORITY, SOURCE_CLASS
 from ..functions.text import strip
-from ..functions.values import with_grit, with_title_candidates
+from ..functions.titles import with_grit, with_title_candidates
 from ..scale import case_map, lookup
 from ..sources.dimensions import DEFAULT_CLASSPATH
 from .normalization import Vocabulary, comparison_key, normalize_values

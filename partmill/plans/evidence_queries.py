@@ -83,9 +83,9 @@ def consolidation(t: Tables):
 
 
 @query("joi_11_secondary_candidates", "product_sources", """
-WITH g AS (SELECT product_id, source_id, source_type, regexp_extract(title, '\\b(\\d+(?:\\s*/\\s*\\d+){1,4})\\s*-?\\s*grit\\b', 0, 'i') AS r, regexp_extract(title, '\\b(\\d+)\\s*-?\\s*grit\\b', 0, 'i') AS s FROM product_sources WHERE source_type <> 'MANUFACTURER')
-SELECT product_id, source_id, source_type AS source, CAST(CASE source_type WHEN 'RETAILER' THEN 0.4 ELSE 0.2 END AS DOUBLE) AS authority, coalesce(nullif(r, ''), s) AS evidence_text,
-  regexp_replace(regexp_extract(coalesce(nullif(r, ''), s), '^(\\d+(?:\\s*/\\s*\\d+)*)', 1), '\\s', '', 'g') AS value FROM g WHERE r <> '' OR s <> ''""")
+WITH g AS (SELECT product_id, source_id, source_type, regexp_extract(title, '[0-9][0-9/]*[ -]?grit', 0, 'i') AS hit FROM product_sources WHERE source_type <> 'MANUFACTURER')
+SELECT product_id, source_id, source_type AS source, CAST(CASE source_type WHEN 'RETAILER' THEN 0.4 ELSE 0.2 END AS DOUBLE) AS authority, hit AS evidence_text,
+  regexp_extract(hit, '[0-9/]+') AS value FROM g WHERE hit <> ''""")
 def secondary(t: Tables):
     """JOI-11: grit evidence in titles of non-manufacturer sources (long form)."""
     return evidence.secondary_candidates(t.product_sources).select("product_id", "source_id", "source", "authority", "evidence_text", "value")

@@ -94,22 +94,31 @@ def fraction_ctes(src: str, value: str, out: str) -> str:
   FROM {out}_n n LEFT JOIN {out}_f USING (_row))"""
 
 
-NUM = "(?:\\d+\\s+\\d+\\s*/\\s*\\d+|\\d+\\s*/\\s*\\d+|\\d+(?:\\.\\d+)?)"
-SIZE = f'({NUM})\\s*(["]|in\\.?|inch(?:es)?)\\s*[x]\\s*({NUM})\\s*(["]|in\\.?|inch(?:es)?)?'
-PACK = "(\\d+)\\s*(pc|pcs|piece|pieces|pk|pack|packs|ea|each)\\b"
+COUNT_WORDS = "('pc', 'pcs', 'piece', 'pieces', 'pk', 'pack', 'packs', 'ea', 'each')"
 
 
 def title_rows(src: str, key: str = "product_id", text: str = "description") -> str:
-    """SELECT of (key, label, value, uom, evidence_text) read from titles."""
-    def g(i):
-        return f"regexp_extract({text}, '{SIZE}', {i}, 'i')"
-    def clean(x):
-        return f"replace(regexp_replace(trim({x}), '^(\\d+)\\s+(\\d+)\\s*/\\s*(\\d+)$', '\\1-\\2/\\3'), ' ', '')"
-    sized, packed = f"regexp_matches({text}, '{SIZE}', 'i')", f"regexp_matches({text}, '{PACK}', 'i')"
-    pack = f"regexp_extract({text}, '{PACK}', 0, 'i')"
-    return f"""SELECT {key}, 'Width' AS label, {clean(g(1))} AS value, {g(2)} AS uom, {g(0)} AS evidence_text FROM {src} WHERE {sized}
-UNION ALL SELECT {key}, 'Length', {clean(g(3))}, coalesce(nullif({g(4)}, ''), {g(2)}), {g(0)} FROM {src} WHERE {sized}
-UNION ALL SELECT {key}, 'Quantity', replace({pack}, ' ', ''), NULL, {pack} FROM {src} WHERE {packed}"""
+    """SELECT of (key, label, value, uom, evidence_text) read from the tokens of titles: ks kinds, ts texts, ats places among parts ps."""
+    def amount(i):
+        return (f"CASE WHEN coalesce(ks[{i}], '') <> 'n' THEN 0 WHEN ks[{i} + 1] = 'n' AND ks[{i} + 2] = '/' AND ks[{i} + 3] = 'n' THEN 4 "
+                f"WHEN ks[{i} + 1] = '/' AND ks[{i} + 2] = 'n' THEN 3 WHEN ks[{i} + 1] = '.' AND ks[{i} + 2] = 'n' AND ats[{i} + 2] = ats[{i}] + 2 THEN 3 ELSE 1 END")
+    def value(i, n):
+        return f"CASE WHEN {n} = 4 THEN ts[{i}] || '-' || ts[{i} + 1] || '/' || ts[{i} + 3] ELSE array_to_string(ts[{i}:{i} + {n} - 1], '') END"
+    def written(i, j):
+        return f"array_to_string(ps[ats[{i}]:ats[{j}]], '')"
+    parts = f"""SELECT {key}, ps, unnest(ps) AS t, generate_subscripts(ps, 1) AS at FROM (SELECT {key}, regexp_extract_all({text}, '[ ]+|[0-9]+|[A-Za-z]+|.') AS ps FROM {src})"""
+    kinds = f"""SELECT *, CASE WHEN regexp_matches(t, '^[0-9]') THEN 'n' WHEN t = '"' OR lower(t) IN ('in', 'inch', 'inches') THEN 'u' WHEN lower(t) = 'x' THEN 'x'
+      WHEN lower(t) IN {COUNT_WORDS} THEN 'q' WHEN regexp_matches(t, '^[A-Za-z]') THEN 'w' ELSE t END AS k FROM ({parts}) WHERE trim(t) <> ''"""
+    lists = f"SELECT {key}, any_value(ps) AS ps, list(k ORDER BY at) AS ks, list(t ORDER BY at) AS ts, list(at ORDER BY at) AS ats FROM ({kinds}) GROUP BY {key}"
+    starts = f"SELECT *, {amount('i')} AS a FROM (SELECT *, unnest(generate_series(1, len(ks))) AS i FROM ({lists}))"
+    sizes = f"SELECT *, i + a + 2 AS j, {amount('(i + a + 2)')} AS b FROM ({starts}) WHERE a > 0 AND ks[i + a] = 'u' AND ks[i + a + 1] = 'x'"
+    sizes = f"SELECT *, CASE WHEN ks[j + b] = 'u' THEN ts[j + b] END AS lu FROM ({sizes}) WHERE b > 0 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY i) = 1"
+    shown = written("i", "j + b - CASE WHEN lu IS NULL THEN 1 ELSE 0 END")
+    packs = f"""SELECT * FROM ({starts}) WHERE ks[i] = 'n' AND ks[i + 1] = 'q' AND NOT coalesce(ats[i + 2] = ats[i + 1] + 1 AND regexp_matches(ts[i + 2], '^[A-Za-z0-9_]'), false)
+      QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY i) = 1"""
+    return f"""SELECT {key}, 'Width' AS label, {value('i', 'a')} AS value, ts[i + a] AS uom, {shown} AS evidence_text FROM ({sizes})
+UNION ALL SELECT {key}, 'Length', {value('j', 'b')}, coalesce(lu, ts[i + a]), {shown} FROM ({sizes})
+UNION ALL SELECT {key}, 'Quantity', replace({written('i', 'i + 1')}, ' ', ''), NULL, {written('i', 'i + 1')} FROM ({packs})"""
 
 
 def normalize_ctes(src: str, out: str, value: str = "value", uom: str = "uom", vocab: str | None = None) -> str:

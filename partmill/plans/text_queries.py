@@ -8,8 +8,7 @@ from ..functions import status as st
 from ..functions import text as tx
 from ..functions import urls
 from ..functions.similarity import token_set_ratio, token_sort_ratio
-from ..functions.values import (approve_fractions, canonical_unit, split_units, unit_in_family,
-                                with_title_candidates)
+from ..functions.values import approve_fractions, canonical_unit, split_units, unit_in_family
 from ..operators import delivery, documents, matching, taxonomy
 from ..scale import lookup
 from ..sources import dimensions

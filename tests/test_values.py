@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from partmill.functions import text as tx
-from partmill.functions.values import approve_fractions, canonical_unit, split_units, with_title_candidates
+from partmill.functions.titles import with_title_candidates
+from partmill.functions.values import approve_fractions, canonical_unit, split_units
 from partmill.operators.normalization import Vocabulary, normalize_values
 
 
@@ -45,7 +46,24 @@ def test_title(spark):
     assert got == {"Width": ("1/2", '"', '1/2"x18"'), "Length": ("18", '"', '1/2"x18"'), "Quantity": ("6pc", None, "6pc")}
 
 
-@pytest.mark.parametrize("text,grit", [("50/80/120-Grit Multi-Grade", "50/80/120"), ("80 grit disc", "80"), ("gritty 80", None)])
+@pytest.mark.parametrize("text,width,length,shown", [
+    ("Belt 1 1/2 in. x 18 inches wide", ("1-1/2", "in."), ("18", "inches"), "1 1/2 in. x 18 inches"), ("3 / 4\" × 2.5", ("3/4", '"'), ("2.5", '"'), "3 / 4\" × 2.5"),
+    ("1.25.5 in X 7 in", ("25.5", "in"), ("7", "in"), "25.5 in X 7 in"), ("4inx6 1/2in", ("4", "in"), ("6-1/2", "in"), "4inx6 1/2in"), ("5 x 6 in", None, None, None),
+    ("2 in x wide 3 in x 4", ("3", "in"), ("4", "in"), "3 in x 4"), ("12 pins x 3", None, None, None)])
+def test_sizes(spark, text, width, length, shown):
+    found = {c.label: c for c in one(spark, text, lambda d: with_title_candidates(d, "v", "c")).c}
+    assert (found.get("Width") and (found["Width"].value, found["Width"].uom)) == width
+    assert (found.get("Length") and (found["Length"].value, found["Length"].uom)) == length
+    assert (found.get("Width") and found["Width"].evidence_text) == shown
+
+
+@pytest.mark.parametrize("text,pack", [("6 Pieces of", "6Pieces"), ("6pcs", "6pcs"), ("6pc2", None), ("6 packed", None), ("box of 3, 12 EA.", "12EA")])
+def test_packs(spark, text, pack):
+    assert next((c.value for c in one(spark, text, lambda d: with_title_candidates(d, "v", "c")).c if c.label == "Quantity"), None) == pack
+
+
+@pytest.mark.parametrize("text,grit", [("50/80/120-Grit Multi-Grade", "50/80/120"), ("80 grit disc", "80"), ("gritty 80", None), ("a60 grit", None), ("60 / 80 - GRIT", "60/80"),
+                                        ("36 grit, 60/80 grit", "60/80"), ("40/50/60/80/100/120 grit", "50/60/80/100/120"), ("60grits", None)])
 def test_grit(spark, text, grit):
     row = one(spark, text, lambda d: with_title_candidates(d, "v", "c"))
     assert next((c.value for c in row.c if c.label == "Grit"), None) == grit
