@@ -104,7 +104,7 @@ VECTOR_DIM = 384
 EVIDENCE_TOP_K = 5
 MIN_SEARCH_K = 8
 
-# ---- stages and statuses ----------------------------------------------------
+# ---- fixed values: stages and statuses ---------------------------------------
 STAGES = [
     "understanding", "entity_resolution", "classification", "research",
     "rag", "extraction", "normalization", "validation",
@@ -133,6 +133,34 @@ DECISION_ALIASES = {
 }
 INPUT_STRONG_LABELS = ["Width", "Length", "Quantity", "Grit", "Diameter", "Size"]
 
+# ---- fixed values: sentences of the output contract --------------------------
+# %s stands for a value of the row.
+SENTENCES = {
+    "MISSING_REQUIRED": "Required attribute %s is missing.",
+    "SOURCE_CONFLICT": "Input and manufacturer values disagree.",
+    "SECONDARY_SOURCE_ONLY": "Only low-authority source evidence was found.",
+    "MISSING_EVIDENCE": "%s is populated without source evidence.",
+    "UOM_INVALID": "UOM '%s' is not an approved unit for %s.",
+    "UOM_MISSING": "%s is populated but has no approved UOM.",
+    "LOV_INVALID": "Normalized value '%s' does not match approved LOV for %s.",
+    "MISSING_IDENTITY": "Product classification is missing.",
+    "BRAND_CONFLICT": "Input brand and manufacturer/description brand disagree.",
+    "LOW_CLASSIFICATION_CONFIDENCE": "Classification confidence %s is below the review threshold.",
+    "NO_AUTHORITATIVE_SOURCE": "Manufacturer source was not found.",
+    "SOURCE_FETCH_FAILED": "The manufacturer source could not be fetched.",
+    "LLM_QUOTA_EXHAUSTED": "Daily token quota exhausted. Understanding was not generated.",
+    "SELECTION_MISSING": "SELECT_CANDIDATE requires selected_value or selected_source",
+    "FIELD_EMPTY": "Required field %s is empty",
+    "MPN_REPEATED": "Duplicate output row for MPN %s",
+    "SLOT_UNLABELLED": "ATTRIBUTE_VALUE %s is populated without a label",
+    "SLOT_VALUE": "%s value '%s' is not an allowed LOV value",
+    "SLOT_UNIT": "%s UOM '%s' is not an approved unit",
+    "SLOT_FAMILY": "%s UOM '%s' is not valid for its unit family",
+    "CLASSIFIED": "Matched allowed taxonomy '%s' from product type '%s' using %s.",
+    "UNCLASSIFIED": "No allowed taxonomy node was close enough to the product understanding.",
+    "CSV_COLUMNS": "CSV is missing required columns: ",
+}
+
 # ---- fixed values: delivery contract ----------------------------------------
 SLOT_COUNT = 50
 REQUIRED_DELIVERY = ["Mfg_Part_Num", "Part_Desc"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import BRAND_PLACEHOLDERS, ENTITY_PLACEHOLDERS, LEGAL_SUFFIXES
+from ..constants import BRAND_PLACEHOLDERS, ENTITY_PLACEHOLDERS, LEGAL_SUFFIXES, SENTENCES
 
 # Every character that counts as white space, so trimming needs no regular expression.
 WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
@@ -153,3 +153,12 @@ def ground_terms(terms: Column, text: Column) -> Column:
 
 def ground_map(values: Column, text: Column) -> Column:
     return F.map_filter(values, lambda k, v: appears_in(v, text))
+
+
+def sentence(name: str, *values: Column) -> Column:
+    """A sentence of the output contract with values in the places of %s; null if one of them is."""
+    parts = SENTENCES[name].split("%s")
+    cells = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:]):
+        cells += [value, F.lit(part)]
+    return F.concat(*cells)

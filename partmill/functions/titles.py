@@ -76,14 +76,14 @@ def _value(start: str, count: str) -> Column:
 
 
 def _grit_columns(df: DataFrame) -> DataFrame:
-    """_low and _g: first number and the word of the first grit with several numbers, else of the first with one."""
+    """_low and _grit_at: first number and the word of the first grit with several numbers, else of the first with one."""
     last = "(i - 1 - CASE WHEN get(_t, i - 1).kind = '-' THEN 1 ELSE 0 END)"
     chain = (f"coalesce(array_max(filter(sequence(1, {MOST_GRITS}), m -> {_starts(f'({last} - 2 * (m - 1))')} AND forall(sequence(0, m - 1), r -> "
              f"coalesce(get(_t, {last} - 2 * r).kind = 'number' AND (r = 0 OR get(_t, {last} - 2 * r + 1).kind = '/'), false)))), 0)")
     found = (f"filter(transform(_t, (x, i) -> struct(i AS at, CASE WHEN x.kind = 'grit' AND {_ends('i')} THEN {chain} ELSE 0 END AS many, {last} AS last)), c -> c.many > 0)")
     best = "coalesce(get(filter(_found, c -> c.many > 1), 0), get(_found, 0))"
     return stage(df, {"_found": F.expr(found)}, {"_best": F.expr(best)},
-                 {"_g": F.col("_best.at"), "_low": F.col("_best.last") - 2 * (F.col("_best.many") - 1)}, drop=["_found"])
+                 {"_grit_at": F.col("_best.at"), "_low": F.col("_best.last") - 2 * (F.col("_best.many") - 1)}, drop=["_found"])
 
 
 def with_grit(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -93,8 +93,8 @@ def with_grit(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def _with_grit(df: DataFrame, out: str) -> DataFrame:
     numbers = F.expr("array_join(transform(slice(_t, _low + 1, _best.last - _low + 1), x -> x.text), '')")
-    return stage(_grit_columns(df), {out: F.when(F.col("_g").isNotNull(), F.struct(
-        numbers.alias("value"), _written("_low", "_g").alias("evidence_text")))}, drop=["_best", "_g", "_low"])
+    return stage(_grit_columns(df), {out: F.when(F.col("_grit_at").isNotNull(), F.struct(
+        numbers.alias("value"), _written("_low", "_grit_at").alias("evidence_text")))}, drop=["_best", "_grit_at", "_low"])
 
 
 def with_title_candidates(df: DataFrame, description: str, out: str) -> DataFrame:

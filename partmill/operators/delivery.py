@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import (DOCUMENT_COLUMNS, MAX_SOURCES, NAMED_DIMENSIONS, REQUIRED_DELIVERY,
                          SLOT_COUNT, delivery_columns, slot_columns)
 from ..functions.status import delivery_eligibility
-from ..functions.text import strip
+from ..functions.text import sentence, strip
 from ..functions.values import canonical_unit, unit_in_family
 from ..scale import lookup
 from ..sources.dimensions import DEFAULT_CLASSPATH
@@ -68,20 +68,17 @@ def attribute_cells(products: DataFrame, template: DataFrame, attributes: DataFr
         F.when(F.col("_v") != "", text(F.col("normalized_uom"))).otherwise("").alias("uom"))
     grid = expand_template(products.select("product_id", "classpath"), template).select(
         "product_id", "label", F.col("position").alias("slot"))
-    sizes = template.groupBy("classpath").agg(F.count(F.lit(1)).alias("template_size"))
-    met = cells.join(grid, ["product_id", "label"], "full")
-    inside = met.where(F.col("slot").isNotNull()).select(
-        "product_id", "slot", "label", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("uom", F.lit("")).alias("uom"))
-    known = template.select(F.col("classpath").alias("_p")).distinct().where(F.col("_p") != DEFAULT_CLASSPATH)
-    size = products.select("product_id", strip(F.coalesce("classpath", F.lit(""))).alias("_p")).join(
-        lookup(known.withColumn("_k", F.lit(True))), "_p", "left").select(
-        "product_id", F.when(F.col("_k"), F.col("_p")).otherwise(DEFAULT_CLASSPATH).alias("classpath")).join(
-        lookup(sizes), "classpath", "left").select("product_id", F.coalesce("template_size", F.lit(0)).alias("template_size"))
-    order = Window.partitionBy("product_id").orderBy("attribute_id")
-    spare = met.where(F.col("slot").isNull() & (F.col("value") != "")).withColumn("_n", F.row_number().over(order))
-    spare = spare.join(size, "product_id").select(
-        "product_id", (F.col("_n") + F.col("template_size")).cast("int").alias("slot"), "label", "value", "uom")
-    return inside.unionByName(spare)
+    # Grid and cells meet in one exchange by product; every window below works inside its partitions.
+    met = grid.unionByName(cells.withColumn("_cell", F.lit(True)), allowMissingColumns=True).repartition("product_id")
+    product, label = Window.partitionBy("product_id"), Window.partitionBy("product_id", "label")
+    met = met.withColumn("_at", F.max("slot").over(label)).withColumn("_cells", F.count("_cell").over(label)).withColumn(
+        "_size", F.count("slot").over(product))
+    spare = F.col("_cell") & F.col("_at").isNull()
+    met = met.where(F.coalesce(F.when(spare, F.col("value") != "").when(F.col("_cell"), True).otherwise(F.col("_cells") == 0), F.lit(False)))
+    number = F.row_number().over(Window.partitionBy("product_id", "_at").orderBy("attribute_id"))  # of those without a slot
+    return met.withColumn("_n", number).select(
+        "product_id", F.when(F.col("_at").isNull(), F.col("_n") + F.col("_size")).otherwise(F.col("_at")).cast("int").alias("slot"),
+        "label", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("uom", F.lit("")).alias("uom"))
 
 
 OVERFLOW = "attributes_left_out"  # of a delivery row: how many attributes found no slot
@@ -230,13 +227,13 @@ def slot_violations(slots: DataFrame, template: DataFrame, vocab: Vocabulary | N
     df = df.withColumn("_code", canonical_unit(F.nullif("uom", F.lit(""))))
     named = F.col("label") != ""
     problem = (
-        F.when(~named, F.concat(F.lit("ATTRIBUTE_VALUE "), F.col("slot").cast("string"), F.lit(" is populated without a label")))
+        F.when(~named, sentence("SLOT_UNLABELLED", F.col("slot").cast("string")))
         .when((F.col("value") != "") & F.col("lov_allowed").isNotNull() & F.col("lov_value").isNull(),
-              F.concat("label", F.lit(" value '"), "value", F.lit("' is not an allowed LOV value")))
+              sentence("SLOT_VALUE", F.col("label"), F.col("value")))
         .when((F.col("uom") != "") & F.col("_code").isNull(),
-              F.concat("label", F.lit(" UOM '"), "uom", F.lit("' is not an approved unit")))
+              sentence("SLOT_UNIT", F.col("label"), F.col("uom")))
         .when((F.col("uom") != "") & ~F.coalesce(unit_in_family(F.col("_code"), F.col("uom_family")), F.lit(True)),
-              F.concat("label", F.lit(" UOM '"), "uom", F.lit("' is not valid for its unit family"))))
+              sentence("SLOT_FAMILY", F.col("label"), F.col("uom"))))
     return df.select("product_id", "slot", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
@@ -254,13 +251,12 @@ def row_violations(delivery: DataFrame) -> DataFrame:
 
     Repeated part numbers are found by count, not by gathering their rows.
     """
-    missing = F.array_compact(F.array(*[F.when(text(F.col(c)) == "", F.concat(
-        F.lit("Required field "), F.lit(c), F.lit(" is empty"))) for c in REQUIRED_DELIVERY]))
+    missing = F.array_compact(F.array(*[F.when(text(F.col(c)) == "", sentence("FIELD_EMPTY", F.lit(c))) for c in REQUIRED_DELIVERY]))
     empty = delivery.select("product_id", F.lit(0).alias("slot"), F.explode(missing).alias("problem"))
     repeated = delivery.groupBy(text(F.col("Mfg_Part_Num")).alias("mpn")).agg(
         F.count(F.lit(1)).alias("n"), F.min("product_id").alias("first_id")).where("n > 1")
     twice = repeated.select(F.col("first_id").alias("product_id"), F.lit(0).alias("slot"),
-                            F.concat(F.lit("Duplicate output row for MPN "), F.col("mpn")).alias("problem"))
+                            sentence("MPN_REPEATED", F.col("mpn")).alias("problem"))
     found = empty.unionByName(twice)
     if OVERFLOW in delivery.columns:
         over = delivery.where(F.col(OVERFLOW) > 0)

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK_OVERLAP, CHUNK_SIZE, EVIDENCE_TOP_K, INPUT_STRONG_LABELS, MIN_SEARCH_K
-from ..functions.embedding import cosine, dot, hash_vector
+from ..functions.embedding import hash_vector
 from ..functions.html import read_page, split_chunks
 from ..functions.text import appears_in, has_text, strip
 from ..functions.titles import with_title_candidates
 from ..functions.values import is_spec_type_code, stage
-from ..scale import planned_bytes
+from ..scale import lookup, materialize, planned_bytes
 from .evidence import expand_template
 from .normalization import Vocabulary, approved_type_from_title
 
@@ -107,18 +109,62 @@ def index_documents(best_sources: DataFrame, pages: DataFrame, context: DataFram
     return {"status": status, "documents": documents, "chunks": chunks}
 
 
+#: A product with more chunks than this is searched in several blocks.
+BLOCK = 65_536
+
+
+def _score_blocks(key: str, unit_vectors: bool):
+    """Scores of chunk rows against the query row that opens their (key, block); rows come sorted, the query first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, query = None, None  # the block that goes on, and its query
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            vectors = batch["_v"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            keys, blocks, chunk = batch[key].to_pylist(), batch["_block"].to_numpy(), batch["_kind"].to_numpy() == 1
+            new = np.array([True] + [x != y for x, y in zip(keys, keys[1:])])
+            new[1:] |= blocks[1:] != blocks[:-1]
+            goes_on = last == (keys[0], blocks[0])
+            if query is None or not goes_on:
+                query = np.zeros(vectors.shape[1])
+            place = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, place, 0))
+            asked = np.where(~chunk[start], start, -1)  # the query's row, else the one before this batch
+            mine = np.where((asked >= 0)[:, None], vectors[asked], query)
+            score = np.einsum("ij,ij->i", vectors, mine)
+            if not unit_vectors:
+                length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors) * np.einsum("ij,ij->i", mine, mine))
+                score = np.divide(score, length, out=np.zeros(n), where=length > 0)
+            wanted = chunk & ((asked >= 0) | ((start == 0) & goes_on))
+            last, query = ((keys[-1], blocks[-1]), mine[-1].copy()) if wanted[-1] or not chunk[-1] else (None, None)
+            out = pa.RecordBatch.from_arrays([batch["_row"], pa.array(score)], ["_row", "score"])
+            yield out.filter(pa.array(wanted))
+    return run
+
+
 def search_chunks(queries: DataFrame, chunks: DataFrame, k: int, key: str = "product_id",
                   unit_vectors: bool = False, chunk_id: str = "chunk_index") -> DataFrame:
     """Best k chunks of the query's own product by cosine, score clamped to [0, 1].
 
-    The rank limit is applied in every task before the shuffle, so a product with very
-    many chunks sends only k rows per task.
+    `queries` has one row per product. Queries and chunks meet in blocks sorted by product, so a
+    query vector travels once per block and scores are array products; a product with very many
+    chunks is dealt over several blocks. Each task keeps k rows of a product before the shuffle that
+    merges its blocks. Chunks without a vector are left out; a zero vector scores 0.
     """
-    measure = dot if unit_vectors else cosine
+    counts = chunks.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+    large = lookup(materialize(counts, "large-products"))
+    blocks = F.coalesce("_blocks", F.lit(1))
+    row = F.struct(*[c for c in chunks.columns if c != "vector"])
+    rows = chunks.where(F.col("vector").isNotNull() & F.col(key).isNotNull()).join(large, key, "left").select(
+        key, F.pmod(F.xxhash64(chunk_id), blocks).cast("int").alias("_block"), F.lit(1).alias("_kind"), F.col("vector").cast("array<double>").alias("_v"), row.alias("_row"))
+    asked = queries.where(F.col("query_vector").isNotNull()).join(large, key, "left").select(
+        key, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"), F.lit(0).alias("_kind"), F.col("query_vector").cast("array<double>").alias("_v"))
+    both = rows.unionByName(asked, allowMissingColumns=True).repartition(key, "_block").sortWithinPartitions(key, "_block", "_kind")
+    kind = next(f for f in both.schema if f.name == "_row").dataType.simpleString()
+    scored = both.mapInArrow(_score_blocks(key, unit_vectors), f"_row {kind}, score double").select("_row.*", "score")
     # Scores are cut to 12 digits so equal vectors tie exactly and chunk order decides.
-    scored = chunks.join(queries.select(key, "query_vector"), key).withColumn(
-        "score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), measure(F.col("query_vector"), F.col("vector")))), 12)
-    ).drop("query_vector", "vector")
+    scored = scored.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))), 12))
     order = Window.partitionBy(key).orderBy(F.desc("score"), chunk_id)
     return scored.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= k)
 

@@ -25,9 +25,10 @@ def expand_template(products: DataFrame, template: DataFrame, classpath: str = "
 
 def input_candidates(products: DataFrame, description: str = "description") -> DataFrame:
     """Values read from the title, long form (a narrow map over products, no shuffle)."""
+    # The outer form keeps the test for empty results above the reading of titles; below, it would repeat all of it.
     return (
         with_title_candidates(products.select("product_id", description), description, "_c")
-        .select("product_id", F.explode("_c").alias("c")).select("product_id", "c.*")
+        .select("product_id", F.explode_outer("_c").alias("c")).where("c is not null").select("product_id", "c.*")
     )
 
 
@@ -37,7 +38,8 @@ def secondary_candidates(sources: DataFrame) -> DataFrame:
     kind = F.when(F.col("source_type").isin(known), F.col("source_type")).otherwise("OTHER")
     rows = sources.where(F.coalesce(F.col("source_type") != "MANUFACTURER", F.lit(True))).select(
         "product_id", "source_id", "title", kind.alias("source"))
-    return with_grit(rows, "title", "_g").where(F.col("_g").isNotNull()).select(
+    found = with_grit(rows, "title", "_g").withColumn("_g", F.explode_outer(F.array("_g")))  # as above
+    return found.where(F.col("_g").isNotNull()).select(
         "product_id", F.lit("Grit").alias("label"), F.col("_g.value").alias("value"),
         F.lit(None).cast("string").alias("uom"), "source",
         case_map(F.col("source"), EVIDENCE_AUTHORITY, 0.1).alias("authority"), "source_id",

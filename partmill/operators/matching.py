@@ -120,34 +120,49 @@ def token_set_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return pairs.unionByName(alike).distinct()
 
 
-def _label_anchor(label: Column) -> Column:
-    space = F.instr(label, " ")
-    return F.when(space > 0, F.substring(label, space - 1, F.lit(3))).otherwise(
-        F.substring(label, F.lit(1), F.lit(8)))
-
-
-def _text_anchors(text: Column) -> Column:
-    n = F.length(text)
-    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    around_space = F.transform(
-        F.filter(at, lambda i: (F.substring(text, i, F.lit(1)) == " ") & (i > 1) & (i < n)),
-        lambda i: F.substring(text, i - 1, F.lit(3)))
-    in_word = F.filter(
-        F.transform(at, lambda i: F.substring(text, i, F.lit(8))),
-        lambda g: (F.length(g) == 8) & ~g.contains(" "))
-    return F.array_distinct(F.concat(around_space, in_word))
-
-
-def contained_labels(texts: DataFrame, labels: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """Distinct (text, label) pairs where a specific label occurs inside the text.
-
-    Only labels of two or more words, or of eight or more characters, count. A multi-word
-    label must show the characters around its first space, a single word its first eight
-    characters; those anchors are the join key and containment is then checked in full.
+def _inside_words(vocabulary: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_word, label) where a single-word label of eight or more characters lies inside a word: its first eight are the key."""
+    keys = labels.where((F.size("_w") == 1) & (F.length("label") >= 8)).select("label", F.substring("label", 1, 8).alias("_k"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("_word") - 7), lambda i: F.substring("_word", i, F.lit(8)))
+    windows = vocabulary.where(F.length("_word") >= 8).select("_word", F.explode(F.array_distinct(pieces)).alias("_k"))
+    return windows.join(lookup(keys), "_k").where(F.col("_word").contains(F.col("label"))).select("_word", "label").distinct()
+
+
+def _word_ends(vocabulary: DataFrame, wanted: DataFrame, heads: bool) -> DataFrame:
+    """(_word, _part) where a wanted part (_part) begins, or with `heads` ends, a word of the vocabulary."""
+    n = F.sequence(F.lit(1), F.length("_word"))
+    ends = F.transform(n, lambda i: F.substring("_word", -i, i) if heads else F.substring("_word", F.lit(1), i))
+    return vocabulary.select("_word", F.explode(ends).alias("_part")).join(lookup(wanted), "_part").select("_word", "_part")
+
+
+def contained_labels(texts: DataFrame, labels: DataFrame, text_col: str, label_col: str, id_col: str | None = None) -> DataFrame:
+    """Distinct (id, label) where a specific label occurs inside the text; without id_col the text is its own id.
+
+    Only labels of two or more words, or of eight or more characters, count. In a text the first word
+    of a longer label ends a word, its last begins one, and those between are whole. Which distinct
+    words of all texts can be such ends is found once; then every word of a text is one row that
+    looks up its label by its own end and the next word's.
     """
-    keys = labels.select(label_col).distinct().where(
-        (F.length(label_col) >= 8) | F.col(label_col).contains(" ")).withColumn("_k", _label_anchor(F.col(label_col)))
-    found = texts.select(text_col).distinct().where(F.col(text_col) != "").withColumn(
-        "_k", F.explode(_text_anchors(F.col(text_col))))
-    return (found.join(lookup(keys), "_k").where(F.col(text_col).contains(F.col(label_col)))
-            .select(text_col, label_col).distinct())
+    id_col = id_col or text_col
+    named = labels.select(F.col(label_col).alias("label")).distinct().where((F.length("label") >= 8) | F.col("label").contains(" "))
+    named = materialize(named.withColumn("_w", F.split("label", " ")), "phrases")
+    longest = named.agg(F.coalesce(F.max(F.size("_w")), F.lit(1))).first()[0]
+    rows = texts.select(F.col(id_col).alias("_id"), F.split(text_col, " ").alias("_t")).distinct()
+    rows = rows.select("_id", F.posexplode(F.transform("_t", lambda w, i: F.struct(w.alias("w"), F.slice("_t", i + 2, F.lit(max(1, longest - 1))).alias("rest")))))
+    rows = materialize(rows.select("_id", F.col("col.w").alias("_word"), F.col("col.rest").alias("_rest")).where("_word <> ''").distinct(), "text-words")
+    vocabulary = materialize(rows.select("_word").distinct(), "vocabulary")
+    single = rows.select("_id", "_word").distinct().join(lookup(_inside_words(vocabulary, named)), "_word").select("_id", "label")
+
+    phrases = named.where(F.size("_w") > 1).select("label", "_w", F.col("_w")[0].alias("_first"), F.col("_w")[1].alias("_second"), (F.size("_w") == 2).alias("_pair"))
+    firsts = _word_ends(vocabulary, phrases.select(F.col("_first").alias("_part")).distinct(), True).withColumnRenamed("_part", "_first")
+    begun = _word_ends(vocabulary, phrases.where("_pair").select(F.col("_second").alias("_part")).distinct(), False)
+    seconds = begun.select("_word", F.col("_part").alias("_second"), F.lit(True).alias("_pair")).unionByName(
+        phrases.where("not _pair").select(F.col("_second").alias("_word"), "_second", F.lit(False).alias("_pair")).distinct())
+    seconds = seconds.withColumnRenamed("_word", "_next")
+    met = rows.withColumn("_next", F.get("_rest", F.lit(0))).where("_next is not null").join(lookup(materialize(firsts, "first-words")), "_word")
+    met = met.join(lookup(materialize(seconds, "second-words")), "_next").join(lookup(phrases), ["_first", "_second", "_pair"])
+    k = F.size("_w")
+    goes_on = F.col("_pair") | ((F.slice("_rest", F.lit(1), k - 2) == F.slice("_w", F.lit(2), k - 2))
+                                & F.coalesce(F.startswith(F.get("_rest", k - 2), F.get("_w", k - 1)), F.lit(False)))
+    return single.unionByName(met.where(goes_on).select("_id", "label")).distinct().select(
+        F.col("_id").alias(id_col), F.col("label").alias(label_col))

@@ -18,12 +18,15 @@ class Vocabulary:
         self.lists, self.index = lists, index
 
     @classmethod
-    def build(cls, lov: DataFrame, taxonomy: DataFrame, alias_file: DataFrame) -> Vocabulary:
-        """Derive both tables once and write them; every later lookup reads the small files."""
+    def build(cls, lov: DataFrame, taxonomy: DataFrame, alias_file: DataFrame, lasting: bool = False) -> Vocabulary:
+        """Derive both tables once and write them; every later lookup reads the small files.
+
+        `lasting` tables are kept when the scratch scope around this call ends.
+        """
         lists = lov_lists(lov, taxonomy).groupBy("label_key", "classpath").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("position", "canonical"))),
                         lambda s: s["canonical"]).alias("allowed"))
-        return cls(materialize(lists, "lov-lists"), materialize(lov_index(lov, taxonomy, alias_file), "lov-index"))
+        return cls(materialize(lists, "lov-lists", lasting), materialize(lov_index(lov, taxonomy, alias_file), "lov-index", lasting))
 
 
 def resolve_lov(df: DataFrame, vocab: Vocabulary, value: str = "value", label: str = "label",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CLASSIFY_REVIEW, CLOSED_REVIEW, DECISION_ALIASES, OPEN_REVIEW
 from ..functions.status import review_flow_status
-from ..functions.text import first_real_brand, is_placeholder_brand, strip
+from ..functions.text import first_real_brand, is_placeholder_brand, sentence, strip
 from ..functions.values import stage
 from ..scale import case_map
 from .normalization import Vocabulary, comparison_key, normalize_values
@@ -77,7 +77,7 @@ def brand_drafts(products: DataFrame, extra: list[str] | None = None) -> DataFra
         df.where(two | F.coalesce(F.col("brand_method") == "brand_conflict", F.lit(False))),
         product_id=F.col("product_id"), issue_type=F.lit("BRAND_CONFLICT"), severity=F.lit("HIGH"),
         attribute=F.lit("Brand"), current_value=F.coalesce("_real", "brand_match_candidate"),
-        reason=F.lit("Input brand and manufacturer/description brand disagree."),
+        reason=sentence("BRAND_CONFLICT"),
         ai_value=F.coalesce("_desc", "_real"))
 
 
@@ -86,8 +86,7 @@ def classification_drafts(classifications: DataFrame) -> DataFrame:
         classifications.where(F.col("confidence") < CLASSIFY_REVIEW),
         product_id=F.col("product_id"), issue_type=F.lit("LOW_CLASSIFICATION_CONFIDENCE"),
         severity=F.lit("MEDIUM"), attribute=F.lit("Classification"), current_value=F.col("classpath"),
-        reason=F.concat(F.lit("Classification confidence "), F.format_string("%.2f", "confidence"),
-                        F.lit(" is below the review threshold.")),
+        reason=sentence("LOW_CLASSIFICATION_CONFIDENCE", F.format_string("%.2f", "confidence")),
         ai_value=F.col("classpath"), confidence=F.col("confidence"))
 
 
@@ -102,7 +101,7 @@ def source_drafts(products: DataFrame, sources: DataFrame) -> DataFrame:
     return _draft(
         df.where((F.col("status") == "NO_AUTHORITATIVE_SOURCE") | none_found),
         product_id=F.col("product_id"), issue_type=F.lit("NO_AUTHORITATIVE_SOURCE"), severity=F.lit("HIGH"),
-        attribute=F.lit("Manufacturer source"), reason=F.lit("Manufacturer source was not found."))
+        attribute=F.lit("Manufacturer source"), reason=sentence("NO_AUTHORITATIVE_SOURCE"))
 
 
 def quota_drafts(queue: DataFrame, understood: DataFrame) -> DataFrame:
@@ -125,8 +124,7 @@ def deferral_rows(errors: DataFrame, products: DataFrame) -> DataFrame:
     wanted = errors.where(fetch | (F.col("error_type") == "LLM_QUOTA_EXHAUSTED")).join(
         products.select("product_id"), "product_id", "left_semi")
     last = wanted.groupBy("product_id", "error_type").agg(F.max(F.struct("error_id", "stage", "message")).alias("e"))
-    default = F.when(fetch, "The manufacturer source could not be fetched.").otherwise(
-        "Daily token quota exhausted. Understanding was not generated.")
+    default = F.when(fetch, sentence("SOURCE_FETCH_FAILED")).otherwise(sentence("LLM_QUOTA_EXHAUSTED"))
     return _draft(last, product_id=F.col("product_id"), issue_type=F.col("error_type"), severity=F.lit("HIGH"),
                   attribute=F.when(fetch, "Manufacturer Source").otherwise(F.initcap("e.stage")),
                   reason=F.coalesce(F.nullif("e.message", F.lit("")), default))
@@ -263,7 +261,7 @@ def apply_decisions(decisions: DataFrame, queue: DataFrame, attributes: DataFram
         F.when(F.col("queue_status").isNull(), "review not found")
         .when(~F.col("decision").isin(DECISIONS), "unknown decision")
         .when(~F.col("queue_status").isin(OPEN_REVIEW), F.concat(F.lit("review is already "), F.col("queue_status")))
-        .when(is_sel & has_row & F.col("_chosen").isNull(), "SELECT_CANDIDATE requires selected_value or selected_source"))
+        .when(is_sel & has_row & F.col("_chosen").isNull(), sentence("SELECTION_MISSING")))
 
     def filled(name):
         return F.nullif(F.col(name), F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CLASSIFY_HIGH
 from ..functions.similarity import token_set_ratio
-from ..functions.text import display_text, fold_entity_name, has_text, plural_key, strip
+from ..functions.text import display_text, fold_entity_name, has_text, plural_key, sentence, strip
 from ..scale import lookup, materialize
 from .matching import contained_labels, token_set_pairs
 
@@ -78,19 +78,19 @@ def classify(products: DataFrame, taxonomy: DataFrame) -> DataFrame:
         "blob", F.trim(F.concat_ws(" ", "type_key", fold_entity_name(F.col("_query")))))
     # Read by both weak tiers and the final join.
     rest = materialize(rest.drop("_query", "extracted_terms", "description", "mpn"), "unmatched")
-    keyword = contained_labels(rest, labels, "blob", "label_key").join(lookup(labels), "label_key").select(
-        "blob", "node", "position", F.lit(0).alias("step"), F.lit("keyword").alias("method"))
-    blobs = rest.select("type_key", "blob").distinct()
-    fuzzy = token_set_tier(rest.where("type_key <> ''"), labels).join(blobs, "type_key").select(
-        "blob", "node", "position", F.lit(1).alias("step"), F.lit("rapidfuzz").alias("method"))
+    keyword = contained_labels(rest, labels, "blob", "label_key", "product_id").join(lookup(labels), "label_key").select(
+        "product_id", "node", "position", F.lit(0).alias("step"), F.lit("keyword").alias("method"))
+    # Distinct types are matched once; the join gives each product its type's nodes.
+    near = materialize(token_set_tier(rest.where("type_key <> ''"), labels), "near-types")
+    fuzzy = rest.select("product_id", "type_key").join(lookup(near), "type_key").select(
+        "product_id", "node", "position", F.lit(1).alias("step"), F.lit("rapidfuzz").alias("method"))
     # The label that fired last names the method of its node.
-    per_node = keyword.unionByName(fuzzy).groupBy("blob", "node").agg(
+    per_node = keyword.unionByName(fuzzy).groupBy("product_id", "node").agg(
         F.max(F.struct("position", "step", "method")).alias("_last"))
     weak = _best(per_node.select(
-        "blob", "node", F.lit(0.88).alias("score"), F.col("_last.method").alias("method"),
-        F.when(F.col("_last.method") == "rapidfuzz", 2).otherwise(1).alias("rank")), "blob")
-    weak = rest.join(weak, "blob").select("product_id", F.col("node").alias("w_node"),
-                                          F.col("score").alias("w_score"), F.col("method").alias("w_method"))
+        "product_id", "node", F.lit(0.88).alias("score"), F.col("_last.method").alias("method"),
+        F.when(F.col("_last.method") == "rapidfuzz", 2).otherwise(1).alias("rank")), "product_id")
+    weak = weak.select("product_id", F.col("node").alias("w_node"), F.col("score").alias("w_score"), F.col("method").alias("w_method"))
 
     paths = taxonomy.select("node", "department", "class_name", "fine", "classpath")
     node = F.coalesce("node", "w_node")
@@ -104,7 +104,5 @@ def classify(products: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def classification_reasoning(classpath, display_type, method):
-    text = F.concat(F.lit("Matched allowed taxonomy '"), classpath, F.lit("' from product type '"),
-                    F.coalesce(display_type, F.lit("n/a")), F.lit("' using "), method, F.lit("."))
-    return F.when(method == "no_match", F.lit(
-        "No allowed taxonomy node was close enough to the product understanding.")).otherwise(text)
+    return F.when(method == "no_match", sentence("UNCLASSIFIED")).otherwise(
+        sentence("CLASSIFIED", classpath, F.coalesce(display_type, F.lit("n/a")), method))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_text
+from ..functions.text import has_text, sentence
 from ..functions.values import canonical_unit, stage, unit_in_family
 from .evidence import expand_template
 from .normalization import Vocabulary, resolve_lov
@@ -91,30 +91,24 @@ def _issue(step, kind, severity, message, review, lov=False):
         (F.col("evidence_text") if lov else text).alias("evidence_text"))
 
 
-def _quoted(c):
-    return F.concat(F.lit("'"), c, F.lit("'"))
-
-
 def issue_array():
     """The row's issues as an array of at most four structs, in rule order."""
     label = F.col("label")
     return F.array_compact(F.array(
         F.when(F.col("missing_required"), _issue(
-            1, "MISSING_REQUIRED", "HIGH", F.concat(F.lit("Required attribute "), label, F.lit(" is missing.")), True)),
+            1, "MISSING_REQUIRED", "HIGH", sentence("MISSING_REQUIRED", label), True)),
         F.when(F.col("source_conflict"), _issue(
-            2, "SOURCE_CONFLICT", "HIGH", F.lit("Input and manufacturer values disagree."), True)),
+            2, "SOURCE_CONFLICT", "HIGH", sentence("SOURCE_CONFLICT"), True)),
         F.when(F.col("only_secondary"), _issue(
-            2, "SECONDARY_SOURCE_ONLY", "MEDIUM", F.lit("Only low-authority source evidence was found."), True)),
+            2, "SECONDARY_SOURCE_ONLY", "MEDIUM", sentence("SECONDARY_SOURCE_ONLY"), True)),
         F.when(F.col("missing_evidence"), _issue(
-            3, "MISSING_EVIDENCE", "HIGH", F.concat(label, F.lit(" is populated without source evidence.")), True)),
+            3, "MISSING_EVIDENCE", "HIGH", sentence("MISSING_EVIDENCE", label), True)),
         F.when(F.col("uom_invalid"), _issue(
-            4, "UOM_INVALID", "HIGH", F.concat(F.lit("UOM "), _quoted(F.col("normalized_uom")), F.lit(
-                " is not an approved unit for "), label, F.lit(".")), True)),
+            4, "UOM_INVALID", "HIGH", sentence("UOM_INVALID", F.col("normalized_uom"), label), True)),
         F.when(F.col("uom_missing"), _issue(
-            4, "UOM_MISSING", "MEDIUM", F.concat(label, F.lit(" is populated but has no approved UOM.")), False)),
+            4, "UOM_MISSING", "MEDIUM", sentence("UOM_MISSING", label), False)),
         F.when(F.col("lov_invalid"), _issue(
-            5, "LOV_INVALID", "HIGH", F.concat(F.lit("Normalized value "), _quoted(F.col("normalized_value")), F.lit(
-                " does not match approved LOV for "), label, F.lit(".")), True, lov=True)),
+            5, "LOV_INVALID", "HIGH", sentence("LOV_INVALID", F.col("normalized_value"), label), True, lov=True)),
     ))
 
 
@@ -125,7 +119,7 @@ def identity_issues(products: DataFrame) -> DataFrame:
     return products.where(~classified | ~has_text(F.col("classpath"))).select(
         "product_id", F.lit("Classification").alias("attribute"), F.lit(0).alias("position"),
         F.lit(0).alias("step"), F.lit("MISSING_IDENTITY").alias("issue_type"), F.lit("HIGH").alias("severity"),
-        F.lit("Product classification is missing.").alias("message"), F.lit(True).alias("requires_review"),
+        sentence("MISSING_IDENTITY").alias("message"), F.lit(True).alias("requires_review"),
         *[none.cast("string").alias(c) for c in ("raw_value", "normalized_value")],
         none.cast("array<string>").alias("allowed_values"),
         *[none.cast("string").alias(c) for c in ("source", "evidence_text")])
@@ -169,7 +163,7 @@ def roll_up(checked: DataFrame, products: DataFrame) -> DataFrame:
     identity = F.transform(F.array(F.lit(0)), lambda _: F.struct(
         F.lit(0).alias("phase"), F.lit(0).alias("position"), F.lit(0).alias("step"),
         F.lit("Classification").alias("attribute"), F.lit("MISSING_IDENTITY").alias("issue_type"),
-        F.lit("HIGH").alias("severity"), F.lit("Product classification is missing.").alias("message"),
+        F.lit("HIGH").alias("severity"), sentence("MISSING_IDENTITY").alias("message"),
         F.lit(True).alias("requires_review"), F.lit(None).cast("string").alias("raw_value"),
         F.lit(None).cast("string").alias("normalized_value"), F.lit(None).cast("array<string>").alias("allowed_values"),
         F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("evidence_text")))

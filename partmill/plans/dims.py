@@ -30,7 +30,7 @@ def once(t: Tables, name: str, build):
     key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
     if key not in _built:
         made = build()
-        _built[key] = made if isinstance(made, Vocabulary) else materialize(made, f"dim-{name}")
+        _built[key] = made if isinstance(made, Vocabulary) else materialize(made, f"dim-{name}", lasting=True)
     return _built[key]
 
 
@@ -67,5 +67,5 @@ def vocabulary(t: Tables, finish: bool = False) -> Vocabulary:
         if not finish:
             lov = lov.where("false")
         filed = lov.select("position", "label", F.concat(F.lower("canonical"), F.lit(" type")).alias("raw_value"), "canonical")
-        return Vocabulary.build(lov, taxonomy(t), filed)
+        return Vocabulary.build(lov, taxonomy(t), filed, lasting=True)
     return once(t, f"vocabulary-{finish}", build)

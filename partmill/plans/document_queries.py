@@ -123,10 +123,27 @@ def evidence_queries(t: Tables):
     return documents.evidence_queries(t.listed, dims.template(t))
 
 
-@query("doc_07_evidence_retrieval")
+FEATURES = """SELECT {key}, CAST(CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 384 AS INT) AS dim, sum(w) AS w FROM (
+  SELECT {key}, t AS token, 1.0e0 AS w FROM ({tokens}) UNION ALL SELECT {key}, substr(t, 1, 3), 0.25e0 FROM ({tokens}) WHERE length(t) >= 3) GROUP BY ALL"""
+
+
+def unit_ctes(out: str, key: str, text: str, src: str) -> str:
+    """CTE `out` (key, dim, w): non-zero entries of the unit vectors of `src`."""
+    tokens = f"SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS t FROM {src}"
+    return f"{out} AS (SELECT {key}, dim, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM ({FEATURES.format(key=key, tokens=tokens)}))"
+
+
+@query("doc_07_evidence_retrieval", "listed template", CHUNKS + f""",
+ck AS (SELECT doc_id % (SELECT count(*) FROM part) + 1 AS product_id, doc_id AS document_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INT) AS chunk_index, piece FROM c WHERE piece <> ''),
+cs AS (SELECT *, row_number() OVER () AS n FROM ck),
+qt AS (SELECT product_id, concat_ws(' ', mpn, fine, string_agg('What is the ' || lower(label) || '?', ' ' ORDER BY position)) AS query_text FROM listed CROSS JOIN template WHERE label NOT IN ('Width', 'Length', 'Quantity') GROUP BY product_id, mpn, fine),
+{unit_ctes('cv', 'n', 'piece', 'cs')}, {unit_ctes('qv', 'product_id', 'query_text', 'qt')},
+sc AS (SELECT cs.n, sum(cv.w * qv.w) AS s FROM cs JOIN cv USING (n) JOIN qv ON qv.product_id = cs.product_id AND qv.dim = cv.dim GROUP BY cs.n),
+rk AS (SELECT cs.product_id, document_id, chunk_index, round(greatest(0.0e0, least(1.0e0, coalesce(s, 0.0e0))), 12) AS s FROM cs JOIN qt USING (product_id) LEFT JOIN sc USING (n))
+SELECT product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY s DESC, document_id, chunk_index) AS INT) AS hit_rank, document_id, chunk_index, round(s, 4) AS score FROM rk
+QUALIFY hit_rank <= 8""")
 def evidence_retrieval(t: Tables):
-    """DOC-07: every product's own query over the chunks of its documents (rows only: the
-    order of near-equal scores depends on floating-point summation; tests check the ranking)."""
+    """DOC-07: every product's own query over the chunks of its documents."""
     texts = t.sql("SELECT doc_id % (SELECT count(*) FROM part) + 1 AS product_id, doc_id AS document_id, text FROM documents")
     parts = documents.embed(documents.chunk_documents(texts, "text"), "chunk_text")
     parts = parts.withColumn("chunk_key", F.struct("document_id", "chunk_index"))

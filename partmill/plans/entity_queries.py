@@ -116,10 +116,11 @@ def nodes(t: Tables):
 @query("joi_07_taxonomy_classification", "understood taxonomy", f"""WITH l AS (SELECT node, 0 AS pos, fine AS label FROM taxonomy UNION ALL SELECT node, 1, alias FROM taxonomy UNION ALL SELECT node, 2, 'hot ' || alias FROM taxonomy),
 u AS (SELECT product_id, mpn, description, product_type, {q.entity_key(q.display('product_type'))} AS tk FROM understood),
 b AS (SELECT *, trim(tk || ' ' || {q.entity_key("concat_ws(' ', trim(product_type), trim(description), trim(mpn))")}) AS blob FROM u),
+{q.set_ratio_ctes('z', "SELECT DISTINCT tk AS s FROM b WHERE tk <> ''", "SELECT DISTINCT label AS t FROM l")},
 s AS (SELECT product_id, node, pos, CASE WHEN tk = label THEN 0.92e0 WHEN regexp_replace(tk, 's+$', '') = regexp_replace(label, 's+$', '') AND tk <> '' THEN 0.9e0 WHEN contains(tk, label) AND (length(label) >= 8 OR contains(label, ' ')) THEN 0.9e0
-   WHEN (contains(blob, label) AND (length(label) >= 8 OR contains(label, ' '))) OR list_contains(string_split(tk, ' '), label) THEN 0.88e0 ELSE 0 END AS score,
+   WHEN (contains(blob, label) AND (length(label) >= 8 OR contains(label, ' '))) OR z.set_ratio >= 90 THEN 0.88e0 ELSE 0 END AS score,
   CASE WHEN tk = label THEN 5 WHEN regexp_replace(tk, 's+$', '') = regexp_replace(label, 's+$', '') AND tk <> '' THEN 4 WHEN contains(tk, label) AND (length(label) >= 8 OR contains(label, ' ')) THEN 3
-   WHEN list_contains(string_split(tk, ' '), label) THEN 2 ELSE 1 END AS rank FROM b, l WHERE tk = label OR (tk <> '' AND regexp_replace(tk, 's+$', '') = regexp_replace(label, 's+$', '')) OR contains(blob, label) OR list_contains(string_split(tk, ' '), label)),
+   WHEN z.set_ratio >= 90 THEN 2 ELSE 1 END AS rank FROM b CROSS JOIN l LEFT JOIN z ON z.s = tk AND z.t = label WHERE tk = label OR (tk <> '' AND regexp_replace(tk, 's+$', '') = regexp_replace(label, 's+$', '')) OR contains(blob, label) OR z.set_ratio >= 90),
 n AS (SELECT product_id, node, max(score) AS score, CASE WHEN max(score) > 0.89 THEN max(rank) ELSE max_by(rank, pos) END AS rank FROM s WHERE score > 0 GROUP BY product_id, node),
 w AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, rank DESC, node) AS rn FROM n)
 SELECT u.product_id, x.classpath, x.fine, coalesce(w.score, 0.0e0) AS confidence, CASE w.rank WHEN 5 THEN 'exact' WHEN 4 THEN 'normalized_exact' WHEN 3 THEN 'alias_containment' WHEN 2 THEN 'rapidfuzz' WHEN 1 THEN 'keyword' ELSE 'no_match' END AS method,

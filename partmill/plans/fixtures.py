@@ -58,7 +58,7 @@ SELECT v.product_id, v.mpn, v.description, brand_1, brand_2, brand_3, manufactur
        WHEN v.product_id % 8 = 3 THEN 'Brand#1' WHEN v.product_id % 16 = 4 THEN 'Acme Industrial' WHEN v.product_id % 16 = 12 THEN replace(p_brand, 'Brand', 'Brnd') ELSE p_brand END AS brand_candidate,
   CASE WHEN v.product_id % 9 = 0 THEN 'Unknown' WHEN v.product_id % 9 < 4 THEN NULL WHEN v.product_id % 9 = 4 THEN replace(manufacturer, 'Supplier', 'Suplier') ELSE manufacturer END AS manufacturer_candidate,
   CASE WHEN v.product_id % 6 = 0 THEN split_part(p_name, ' ', 2) || 's' WHEN v.product_id % 6 = 1 THEN upper(p_name) || ' set'
-       WHEN v.product_id % 6 = 2 THEN 'sprocket' WHEN v.product_id % 6 = 3 THEN NULL ELSE split_part(p_name, ' ', 2) END AS product_type
+       WHEN v.product_id % 6 = 2 THEN 'sprocket' WHEN v.product_id % 6 = 3 THEN NULL WHEN v.product_id % 12 = 4 THEN 'hot ' || left(split_part(p_name, ' ', 2), 2) || substr(split_part(p_name, ' ', 2), 4) ELSE split_part(p_name, ' ', 2) END AS product_type
 FROM valid_products v JOIN part ON p_partkey = v.product_id"""),
     "listed": ("valid_products", """
 SELECT v.*, 'Catalog>' || split_part(p_name, ' ', 2) || 's' AS classpath, split_part(p_name, ' ', 2) || 's' AS fine,
@@ -122,6 +122,8 @@ def with_views(names: str, body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -54,6 +54,20 @@ def fuzzy_ctes(out: str, names: str, catalog: str) -> str:
 {out} AS (SELECT key, canonical, score FROM {out}_s WHERE score >= 80 QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, canonical, position) = 1)"""
 
 
+def set_ratio_ctes(out: str, left: str, right: str) -> str:
+    """CTEs ending in `out` (s, t, sort_ratio, set_ratio): both token ratios of all pairs of `left` (s) and `right` (t)."""
+    def words(c):
+        return f"list_sort(list_distinct(string_split({c}, ' ')))"
+    return f"""{out}_n AS (SELECT s, {token_order('s')} AS so, {words('s')} AS sw FROM ({left})), {out}_o AS (SELECT t, {token_order('t')} AS t_o, {words('t')} AS tw FROM ({right})),
+{out}_p AS (SELECT *, list_filter(sw, lambda w_: NOT list_contains(tw, w_)) AS xs, list_filter(tw, lambda w_: NOT list_contains(sw, w_)) AS ys, list_filter(sw, lambda w_: list_contains(tw, w_)) AS cs FROM {out}_n, {out}_o),
+{out}_l AS (SELECT *, array_to_string(xs, ' ') AS x, array_to_string(ys, ' ') AS y, length(array_to_string(cs, ' ')) AS c, CASE WHEN len(cs) > 0 THEN 1 ELSE 0 END AS gap FROM {out}_p),
+{masks_cte(out + '_m', f"SELECT so AS s FROM {out}_n UNION SELECT x FROM {out}_l WHERE x <> ''")},
+{out} AS (SELECT l.s, l.t, 200.0e0 * {lcs('so', 'ms.masks', 't_o')} / (length(so) + length(t_o)) AS sort_ratio,
+  CASE WHEN gap = 1 AND (x = '' OR y = '') THEN 100.0e0 ELSE greatest(100 - 100.0e0 * (length(x) + length(y) - 2 * {lcs('x', 'mx.masks', 'y')}) / (2 * (c + gap) + length(x) + length(y)),
+    CASE WHEN gap = 1 THEN 100 - 100.0e0 * (1 + length(x)) / (2 * c + 1 + length(x)) END, CASE WHEN gap = 1 THEN 100 - 100.0e0 * (1 + length(y)) / (2 * c + 1 + length(y)) END) END AS set_ratio
+  FROM {out}_l l JOIN {out}_m ms ON ms.s = so LEFT JOIN {out}_m mx ON mx.s = x)"""
+
+
 UNIT_VALUES = """('in','in'),('in.','in'),('inch','in'),('inches','in'),('"','in'),('ft','ft'),('ft.','ft'),('foot','ft'),('feet','ft'),('''','ft'),
 ('mm','mm'),('millimeter','mm'),('millimeters','mm'),('cm','cm'),('centimeter','cm'),('centimeters','cm'),('v','V'),('volt','V'),('volts','V'),('vac','V'),
 ('a','A'),('amp','A'),('amps','A'),('ampere','A'),('amperes','A'),('dba','dBA'),('db(a)','dBA'),('ea','EA'),('each','EA'),('pc','EA'),('pcs','EA'),
@@ -106,10 +120,10 @@ def title_rows(src: str, key: str = "product_id", text: str = "description") ->
         return f"CASE WHEN {n} = 4 THEN ts[{i}] || '-' || ts[{i} + 1] || '/' || ts[{i} + 3] ELSE array_to_string(ts[{i}:{i} + {n} - 1], '') END"
     def written(i, j):
         return f"array_to_string(ps[ats[{i}]:ats[{j}]], '')"
-    parts = f"""SELECT {key}, ps, unnest(ps) AS t, generate_subscripts(ps, 1) AS at FROM (SELECT {key}, regexp_extract_all({text}, '[ ]+|[0-9]+|[A-Za-z]+|.') AS ps FROM {src})"""
+    parts = f"""SELECT {key}, ps, unnest(ps) AS t, generate_subscripts(ps, 1) AS pl FROM (SELECT {key}, regexp_extract_all({text}, '[ ]+|[0-9]+|[A-Za-z]+|.') AS ps FROM {src})"""
     kinds = f"""SELECT *, CASE WHEN regexp_matches(t, '^[0-9]') THEN 'n' WHEN t = '"' OR lower(t) IN ('in', 'inch', 'inches') THEN 'u' WHEN lower(t) = 'x' THEN 'x'
       WHEN lower(t) IN {COUNT_WORDS} THEN 'q' WHEN regexp_matches(t, '^[A-Za-z]') THEN 'w' ELSE t END AS k FROM ({parts}) WHERE trim(t) <> ''"""
-    lists = f"SELECT {key}, any_value(ps) AS ps, list(k ORDER BY at) AS ks, list(t ORDER BY at) AS ts, list(at ORDER BY at) AS ats FROM ({kinds}) GROUP BY {key}"
+    lists = f"SELECT {key}, any_value(ps) AS ps, list(k ORDER BY pl) AS ks, list(t ORDER BY pl) AS ts, list(pl ORDER BY pl) AS ats FROM ({kinds}) GROUP BY {key}"
     starts = f"SELECT *, {amount('i')} AS a FROM (SELECT *, unnest(generate_series(1, len(ks))) AS i FROM ({lists}))"
     sizes = f"SELECT *, i + a + 2 AS j, {amount('(i + a + 2)')} AS b FROM ({starts}) WHERE a > 0 AND ks[i + a] = 'u' AND ks[i + a + 1] = 'x'"
     sizes = f"SELECT *, CASE WHEN ks[j + b] = 'u' THEN ts[j + b] END AS lu FROM ({sizes}) WHERE b > 0 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY i) = 1"

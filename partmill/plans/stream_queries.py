@@ -40,17 +40,14 @@ WITH i AS (SELECT user_id % 10 AS job_id, CASE event_type WHEN 'purchase' THEN '
 SELECT job_id, count(*) AS total, count(*) FILTER (status IN ({', '.join(repr(s) for s in TERMINAL_ITEMS)})) AS processed, count(*) FILTER (status = 'APPROVED') AS approved, count(*) FILTER (status = 'PARTIAL') AS partial,
   count(*) FILTER (status = 'REVIEW_REQUIRED') AS review_required, count(*) FILTER (status = 'FAILED') AS failed, round(sum(duration_ms) FILTER (duration_ms <> 0), 2) AS timed_ms, count(*) FILTER (duration_ms <> 0) AS timed FROM i GROUP BY job_id""")
 def live_progress(t: Tables):
-    """STR-02: counters over the event stream, final state of a complete-mode run."""
+    """STR-02: counters over the event stream in four arrivals; each trigger writes the jobs that changed."""
     base = scratch_path(t.spark, "progress")
-    events = (t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir))
     status = F.when(F.col("event_type") == "purchase", "APPROVED").when(F.col("event_type") == "view", "PARTIAL").when(
         F.col("event_type") == "click", "REVIEW_REQUIRED").when(F.col("event_type") == "error", "FAILED").otherwise("RUNNING")
-    items = events.select((F.col("user_id") % 10).alias("job_id"), status.alias("status"),
-                          F.when(F.col("event_id") % 10 == 0, 0.0).otherwise(F.col("value")).alias("duration_ms"))
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{base}/out")
-    run = (intake.live_progress(items).writeStream.outputMode("complete").foreachBatch(keep)
-           .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    run.awaitTermination()
-    return t.spark.read.parquet(f"{base}/out").withColumn("timed_ms", F.round("timed_ms", 2))
+    items = t.events.select((F.col("user_id") % 10).alias("job_id"), status.alias("status"),
+                            F.when(F.col("event_id") % 10 == 0, 0.0).otherwise(F.col("value")).alias("duration_ms"),
+                            F.pmod(F.col("event_id"), F.lit(4)).alias("arrival"))
+    items.repartition("arrival").write.partitionBy("arrival").parquet(f"{base}/in")
+    stream = t.spark.readStream.schema(items.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/arrival=*")
+    intake.track_progress(stream, f"{base}/out", f"{base}/checkpoint", 3).trigger(availableNow=True).start().awaitTermination()
+    return intake.progress_so_far(t.spark, f"{base}/out").withColumn("timed_ms", F.round("timed_ms", 2))

@@ -210,18 +210,7 @@ RIGHT_NAMES = """SELECT p_name || ' ' || lower(p_type) AS t FROM part UNION SELE
   UNION SELECT lower(p_type) || ' ' || left(p_name, length(p_name) - 1) FROM part"""
 
 
-def _words(c: str) -> str:
-    return f"list_sort(list_distinct(string_split({c}, ' ')))"
-
-
-@query("sca_13_token_similarity", "", f"""WITH n AS (SELECT s, {q.token_order('s')} AS so, {_words('s')} AS sw FROM ({LEFT_NAMES})), o AS (SELECT t, {q.token_order('t')} AS t_o, {_words('t')} AS tw FROM ({RIGHT_NAMES})),
-p AS (SELECT *, list_filter(sw, lambda w: NOT list_contains(tw, w)) AS xs, list_filter(tw, lambda w: NOT list_contains(sw, w)) AS ys, list_filter(sw, lambda w: list_contains(tw, w)) AS cs FROM n, o),
-l AS (SELECT *, array_to_string(xs, ' ') AS x, array_to_string(ys, ' ') AS y, length(array_to_string(cs, ' ')) AS c, CASE WHEN len(cs) > 0 THEN 1 ELSE 0 END AS gap FROM p),
-{q.masks_cte('m', "SELECT so AS s FROM n UNION SELECT x FROM l WHERE x <> ''")},
-r AS (SELECT l.s, l.t, 200.0e0 * {q.lcs('so', 'ms.masks', 't_o')} / (length(so) + length(t_o)) AS sort_ratio,
-  CASE WHEN gap = 1 AND (x = '' OR y = '') THEN 100.0e0 ELSE greatest(100 - 100.0e0 * (length(x) + length(y) - 2 * {q.lcs('x', 'mx.masks', 'y')}) / (2 * (c + gap) + length(x) + length(y)),
-    CASE WHEN gap = 1 THEN 100 - 100.0e0 * (1 + length(x)) / (2 * c + 1 + length(x)) END, CASE WHEN gap = 1 THEN 100 - 100.0e0 * (1 + length(y)) / (2 * c + 1 + length(y)) END) END AS set_ratio
-  FROM l JOIN m ms ON ms.s = so LEFT JOIN m mx ON mx.s = x)
+@query("sca_13_token_similarity", "", f"""WITH {q.set_ratio_ctes('r', LEFT_NAMES, RIGHT_NAMES)}
 SELECT s AS left_name, t AS right_name, round(sort_ratio, 4) AS sort_ratio, round(set_ratio, 4) AS set_ratio FROM r WHERE set_ratio >= 90""")
 def token_similarity(t: Tables):
     """SCA-13: both ratios of the name pairs whose token set ratio reaches 90."""

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # Keyed state of streams on disk: memory does not grow with the keys.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # Lookup joins run on derived keys, never on partition columns. The pruning rule
         # still expands every derived key to its inputs, which took most of planning time.
         "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false",
@@ -79,11 +82,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-_scopes: list[str] = []
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    folder = _scopes[-1] if _scopes else shared_dir(spark)
+def scratch_path(spark: SparkSession, label: str, lasting: bool = False) -> str:
+    """A new path in the innermost scratch scope of this thread; `lasting` ones outlive every scope."""
+    folder = shared_dir(spark) if lasting or not _scopes.get() else _scopes.get()[-1]
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
@@ -94,19 +98,19 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
     Results built inside read those tables: write or collect them before leaving the scope.
     """
     folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
-    _scopes.append(folder)
+    entered = _scopes.set((*_scopes.get(), folder))
     try:
         yield folder
     finally:
-        _scopes.remove(folder)
+        _scopes.reset(entered)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     """Write once to shared storage and read back: a reusable result whose recovery
     does not depend on the executors that produced it."""
-    path = scratch_path(df.sparkSession, label)
+    path = scratch_path(df.sparkSession, label, lasting)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import INTAKE_COLUMNS, JSON_KEY_ALIASES
+from ..constants import INTAKE_COLUMNS, JSON_KEY_ALIASES, SENTENCES
 from ..functions.text import blank_to_null, has_text, is_placeholder_brand, strip
 from ..scale import lookup, materialize
 
@@ -20,7 +20,7 @@ FIELDS = list(INTAKE_COLUMNS)
 class MissingColumnError(ValueError):
     def __init__(self, missing: list[str]):
         self.missing = missing
-        super().__init__("CSV is missing required columns: " + ", ".join(missing))
+        super().__init__(SENTENCES["CSV_COLUMNS"] + ", ".join(missing))
 
 
 def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:

@@ -1,5 +1,6 @@
 """Consolidation, validation, research, documents, jobs and review rules on hand-built rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +237,21 @@ def test_sync_is_idempotent(spark):
     assert [r[1:] for r in rows[:2]] == [(1, "LOV_INVALID", "PENDING", "new"), (1, "LOV_INVALID", "REJECTED", "kept")]
     assert rows[2][1:] == (2, "BRAND_CONFLICT", "PENDING", "fresh") and len(rows) == 3
     assert sorted(tuple(r) for r in twice.collect()) == sorted(tuple(r) for r in once.collect())
+
+
+def test_search_is_the_same_in_blocks(spark, monkeypatch):
+    """A product with many chunks is searched in blocks; products without a query or a vector give nothing."""
+    rng = np.random.default_rng(5)
+    rows = [(p, i, rng.normal(size=8).round(2).tolist()) for p, n in ((1, 60), (2, 3), (3, 5), (None, 2)) for i in range(n)]
+    rows += [(1, 60, rows[7][2]), (2, 3, [0.0] * 8), (2, 4, None)]
+    chunks = spark.createDataFrame(rows, "product_id long, chunk_index int, vector array<double>").repartition(5)
+    ask = {1: rng.normal(size=8).tolist(), 2: rng.normal(size=8).tolist(), 9: [1.0] * 8}
+    queries = spark.createDataFrame(list(ask.items()), "product_id long, query_vector array<double>")
+    want = []
+    for p, q in ask.items():
+        found = [(-round(min(1.0, max(0.0, float(np.dot(v, q) / (np.linalg.norm(v) * np.linalg.norm(q) or 1)))), 12) + 0.0, i) for pid, i, v in rows if pid == p and v]
+        want += [(p, i, -s) for s, i in sorted(found)[:6]]
+    for block in (documents.BLOCK, 7):
+        monkeypatch.setattr(documents, "BLOCK", block)
+        got = documents.search_chunks(queries, chunks, 6).orderBy("product_id", "hit_rank").collect()
+        assert [(r.product_id, r.chunk_index, pytest.approx(r.score)) for r in got] == [(p, i, s) for p, i, s in sorted(want, key=lambda x: x[0])]

@@ -4,6 +4,7 @@ import json
 import os
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,47 @@ def test_streaming_marks_only_new_arrivals(spark):
     got = {r.product_id: r.status for r in stream_intake.stored_products(spark, f"{base}/p").collect()}
     assert got == {1: "INGESTED", 2: "INGESTED", 4: "DUPLICATE_CANDIDATE", 5: "DUPLICATE_CANDIDATE", 6: "DUPLICATE_CANDIDATE"}
     assert stream_intake.stored_products(spark, f"{base}/e").count() == 1
+
+
+def test_streaming_marks_from_state_alone(spark):
+    """Stored products may be gone: a number is known from keyed state, and a batch touches only its own keys."""
+    base = scratch_path(spark, "stream-state")
+    rows = [(b * 10 + i, b * 10 + i + 1, f"P{i if i < 3 else b * 10 + i}", "x", None, None, None, None) for b in range(6) for i in range(10)]
+    updated = []
+    for b in range(6):
+        spark.createDataFrame([r for r in rows if r[0] // 10 == b], stream_intake.RAW_SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        run = stream_intake.incremental_intake(spark.readStream.schema(stream_intake.RAW_SCHEMA).parquet(f"{base}/in"),
+                                               f"{base}/p{b}", f"{base}/e{b}", f"{base}/c").trigger(availableNow=True).start()
+        run.awaitTermination()
+        updated.append(run.lastProgress["stateOperators"][0]["numRowsUpdated"])
+        got = {r.product_id: r.status for r in stream_intake.stored_products(spark, f"{base}/p{b}").collect()}
+        assert got == {b * 10 + i: "DUPLICATE_CANDIDATE" if b and i < 3 else "INGESTED" for i in range(10)}
+    assert updated == [10] * 6
+
+
+def test_copies_within_a_batch_are_marked_whatever_the_parts():
+    class State:
+        exists, kept = False, None
+
+        def update(self, value):
+            self.kept = value
+    one = lambda *ids: pd.DataFrame({"product_id": ids})
+    for parts, status in (([one(1)], ["INGESTED"]), ([one(1), one(2)], ["DUPLICATE_CANDIDATE"] * 2), ([one(1, 2), one(3)], ["DUPLICATE_CANDIDATE"] * 3),
+                          ([one(), one(1), one(), one(2, 3)], ["DUPLICATE_CANDIDATE"] * 3)):
+        state = State()
+        out = pd.concat(stream_intake._mark(("A",), iter(parts), state))
+        assert out.status.tolist() == status and sorted(out.product_id) == list(range(1, len(status) + 1)) and state.kept == (True,)
+
+
+def test_progress_after_every_trigger(spark):
+    base = scratch_path(spark, "progress-test")
+    schema, seen = "job_id long, status string, duration_ms double", []
+    for b in range(5):
+        new = [(j, ["APPROVED", "FAILED", "RUNNING"][(b + j) % 3], float(b)) for j in range(b + 1) if (b + j) % 2]
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        seen += new
+        stream_intake.track_progress(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/c", 3).trigger(
+            availableNow=True).start().awaitTermination()
+        want = stream_intake.live_progress(spark.createDataFrame(seen, schema)) if seen else None
+        got = stream_intake.progress_so_far(spark, f"{base}/out")
+        assert sorted(got.collect()) == (sorted(want.select(got.columns).collect()) if want else [])
