@@ -48,7 +48,7 @@ def fuzzy_scores(names: DataFrame, aliases: DataFrame, key: str = "name_key") ->
         best = scored.join(lookup(catalog), "alias_key").withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
         best = materialize(best.select(key, "canonical", "score"), "band")
         found = best if found is None else found.unionByName(best)
-        left = left.join(lookup(best.select(key)), key, "left_anti")
+        left = left.join(best.select(key), key, "left_anti")
         if least > ENTITY_POSSIBLE:
             left = materialize(left, "name-grams")
             if left.isEmpty():

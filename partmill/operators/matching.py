@@ -1,7 +1,8 @@
 """Candidate generation for fuzzy and containment matching.
 
-Both generators emit equi-join keys that every qualifying pair must share, so no
-pair of unrelated strings is ever formed and no recall is lost.
+All generators emit equi-join keys that every qualifying pair must share, so no pair of unrelated
+strings is ever formed and no recall is lost. Joins of derived keys carry no broadcast hint: adaptive
+execution knows their sizes when it gets there, broadcasts the small ones and splits hot keys.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def _gram_keys(grams: DataFrame, frequency: DataFrame, key: str, least: float, t
     left after taking c - together away still share `together`, so only the rarest ones of each side
     are combined.
     """
-    ranked = grams.join(lookup(frequency), "_g", "left").groupBy(key, "_n").agg(
+    ranked = grams.join(frequency, "_g", "left").groupBy(key, "_n").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_g").alias("g")))).alias("_all"))
     partner = F.ceil(F.col("_n") * (least / (200 - least)) - 1e-9)
     few = F.greatest(F.size("_all") - _grams_shared(F.col("_n") + partner, least) + together, F.lit(together))
@@ -78,7 +79,7 @@ def gram_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     b = _gram_keys(right, frequency, right_key, least, together)
     near = F.least("_m", "_n") * 2 >= (F.col("_m") + F.col("_n")) * (least / 100) - 1e-9
     alike = F.size(F.array_intersect("_ours", "_all")) >= _grams_shared(F.col("_m") + F.col("_n"), least)
-    return a.join(lookup(materialize(b, "gram-keys")), "_k").where(near).where(alike).select(left_key, right_key).distinct()
+    return a.join(b, "_k").where(near).where(alike).select(left_key, right_key).distinct()
 
 
 def _words(strings: DataFrame, key: str) -> DataFrame:
@@ -97,10 +98,10 @@ def _covered(covered: DataFrame, covering: DataFrame, frequency: DataFrame, key:
     """
     share = least / (200 - least)
     order = Window.partitionBy(key).orderBy(F.coalesce("_df", F.lit(0)), "_t")
-    ranked = covered.join(lookup(frequency), "_t", "left").withColumn(
+    ranked = covered.join(frequency, "_t", "left").withColumn(
         "_before", F.coalesce(F.sum(F.length("_t") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rare = ranked.where(F.col("_before") <= F.col("_n") * (1 - share) + 1e-9).select(key, "_t")
-    met = rare.join(lookup(covering.select(other, "_t")), "_t").select(key, other).distinct()
+    met = rare.join(covering.select(other, "_t"), "_t").select(key, other).distinct()
     shared = met.join(covered, key).join(covering.select(other, "_t"), [other, "_t"]).groupBy(key, other, "_n").agg(
         (F.sum(F.length("_t") + 1) - 1).alias("_s"))
     return shared.where(F.col("_s") >= F.col("_n") * share - 1e-9).select(key, other)
@@ -151,7 +152,7 @@ def contained_labels(texts: DataFrame, labels: DataFrame, text_col: str, label_c
     rows = rows.select("_id", F.posexplode(F.transform("_t", lambda w, i: F.struct(w.alias("w"), F.slice("_t", i + 2, F.lit(max(1, longest - 1))).alias("rest")))))
     rows = materialize(rows.select("_id", F.col("col.w").alias("_word"), F.col("col.rest").alias("_rest")).where("_word <> ''").distinct(), "text-words")
     vocabulary = materialize(rows.select("_word").distinct(), "vocabulary")
-    single = rows.select("_id", "_word").distinct().join(lookup(_inside_words(vocabulary, named)), "_word").select("_id", "label")
+    single = rows.select("_id", "_word").distinct().join(_inside_words(vocabulary, named), "_word").select("_id", "label")
 
     phrases = named.where(F.size("_w") > 1).select("label", "_w", F.col("_w")[0].alias("_first"), F.col("_w")[1].alias("_second"), (F.size("_w") == 2).alias("_pair"))
     firsts = _word_ends(vocabulary, phrases.select(F.col("_first").alias("_part")).distinct(), True).withColumnRenamed("_part", "_first")
@@ -159,8 +160,8 @@ def contained_labels(texts: DataFrame, labels: DataFrame, text_col: str, label_c
     seconds = begun.select("_word", F.col("_part").alias("_second"), F.lit(True).alias("_pair")).unionByName(
         phrases.where("not _pair").select(F.col("_second").alias("_word"), "_second", F.lit(False).alias("_pair")).distinct())
     seconds = seconds.withColumnRenamed("_word", "_next")
-    met = rows.withColumn("_next", F.get("_rest", F.lit(0))).where("_next is not null").join(lookup(materialize(firsts, "first-words")), "_word")
-    met = met.join(lookup(materialize(seconds, "second-words")), "_next").join(lookup(phrases), ["_first", "_second", "_pair"])
+    met = rows.withColumn("_next", F.get("_rest", F.lit(0))).where("_next is not null").join(firsts, "_word")
+    met = met.join(seconds, "_next").join(lookup(phrases), ["_first", "_second", "_pair"])
     k = F.size("_w")
     goes_on = F.col("_pair") | ((F.slice("_rest", F.lit(1), k - 2) == F.slice("_w", F.lit(2), k - 2))
                                 & F.coalesce(F.startswith(F.get("_rest", k - 2), F.get("_w", k - 1)), F.lit(False)))
