@@ -136,3 +136,50 @@ def test_queries_ignore_other_columns(spark, tmp_path):
     for name, query in queries.QUERIES.items():
         if name != "pipeline":
             assert query(spark, folder).count() == 30, name
+
+
+def taken_words(df):
+    words = {}
+    for r in df.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(re.findall(brute.WORD, r.text))
+    return words
+
+
+@pytest.mark.parametrize("columns", [["doc_id", "text", "source"], ["doc_id", "text", "source", "lang"], ["n_chars", "source", "text", "doc_id"]])
+def test_mixed_documents_of_few_columns(spark, columns):
+    docs = brute.frame(spark, [(i, t) for i, (_, t) in enumerate(brute.corpus(3, n=40)[:40])]).select(columns)
+    out = mixed_documents(docs)
+    assert out.columns == columns
+    assert taken_words(out) == {r.doc_id: r.taken for r in mix(docs).collect() if r.taken}
+
+
+@pytest.mark.parametrize("copies", [2, 7, 40])
+def test_repeated_rows_are_mixed_to_the_word(spark, copies):
+    """Rows that repeat id and text: whole copies, and one row cut at the edge, whatever their other columns."""
+    rows = [(5, "one two three four five six seven", f"l{i}", "a") for i in range(copies)] + [(9, "x y z", "l", "b"), (None, "p q", "l", "b"), (None, "p q", "l", "b"), (6, None, "l", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    each = mix(docs).collect()
+    want = {}
+    for r in each:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert all(0 <= r.taken <= 2 * r["size"] for r in each) and len(each) == len(rows)
+    assert sum(want.values()) == sum(int(t) for t in {(r.source_size, r.target): r.target for r in each}.values())
+    out = mixed_documents(docs)
+    assert taken_words(out) == {d: n for d, n in want.items() if n}
+    assert sum(r.text != "one two three four five six seven" for r in out.where("doc_id = 5").collect()) <= 1
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null and empty texts, missing and repeated ids, clashing names, only the needed columns, no rows at all."""
+    import corpus_pipeline
+    rows = brute.corpus(6, n=30)
+    full = brute.frame(spark, rows)
+    for number, docs in enumerate((full, full.select("doc_id", "text", "source"), full.where("text is null"), full.limit(0))):
+        folder = f"{tmp_path}/{number}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([("a", rows[0][1]), ("b", None)], "item_id string, text string").limit(2 if number < 2 else 0).write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns[:len(docs.columns)] == docs.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert all(t and re.search(brute.WORD, t) for _, t in got) and bool(got) == (number < 2)
