@@ -94,8 +94,9 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
-def train(texts: list[str], labels: list[int], dim: int = 12, epochs: int = 6, rate: float = 0.4, seed: int = 7) -> Model:
-    """Embeddings and softmax layer by stochastic gradient descent, one document a step."""
+def train(texts: list[str], labels: list[int], dim: int = 12, epochs: int = 6, rate: float = 0.4, seed: int = 7, whole: bool = False):
+    """Embeddings and softmax layer by stochastic gradient descent, one document a step; the folded model,
+    with `whole` also the vectors, the layer and its bias."""
     size = 1 << BITS
     classes = np.array(labels)
     share = float(classes.mean()) if len(classes) else 0.5
@@ -129,7 +130,8 @@ def train(texts: list[str], labels: list[int], dim: int = 12, epochs: int = 6, r
                 # The mean's gradient, scaled as if all features moved together.
                 vectors[ids] -= np.float32(step) * np.outer(part * min(len(ids), 200), back).astype(np.float32)
     difference = layer[1] - layer[0]
-    return Model((vectors @ difference).astype(np.float32), float(bias[1] - bias[0]))
+    model = Model((vectors @ difference).astype(np.float32), float(bias[1] - bias[0]))
+    return (model, vectors, layer, bias) if whole else model
 
 
 MAX_CHARS = 16_000_000

@@ -196,3 +196,59 @@ def test_toxicity_trains_on_one_of_equal_rows(spark, monkeypatch):
     tox.fit_toxicity(docs, labels, per_side=10)
     tox.fit_toxicity(docs.unionByName(docs).unionByName(docs), labels, per_side=10)
     assert seen[0] == seen[1] <= 20
+
+
+def test_label_model_over_patterns_is_that_over_single_rows(spark):
+    """Expectation maximisation on counted vote patterns equals the plain one that takes every row by itself."""
+    rng = np.random.default_rng(11)
+    m, n = 5, 400
+    hidden = rng.random(n) < 0.3
+    bits = (rng.random((n, m)) < np.where(hidden[:, None], 0.6, 0.08)).astype(float)
+    bits[:, 1] = bits[:, 0]  # two voters that always agree
+    votes = (bits @ (1 << np.arange(m))).astype(int).tolist()
+    first = tox.LabelModel(0.1, np.vstack((np.full(m, 0.05), np.full(m, 0.4))), np.ones((2, m)))
+
+    def plain_sums(model):
+        classes, fired, both = np.zeros(2), np.zeros((2, m)), np.zeros((2, m, m))
+        for row in bits:
+            logit = np.log(model.prior / (1 - model.prior))
+            for j in range(m):
+                a, b = (model.fire[1][j], model.fire[0][j]) if row[j] else (1 - model.fire[1][j], 1 - model.fire[0][j])
+                logit += np.log(a / b) * model.weight[int(row[j])][j]
+            p = 1 / (1 + np.exp(-logit))
+            for y, share in ((0, 1 - p), (1, p)):
+                classes[y] += share
+                fired[y] += share * row
+                both[y] += share * np.outer(row, row)
+        return classes, fired, both
+
+    want = first
+    for _ in range(3):
+        classes, fired, _both = plain_sums(want)
+        want = tox._refit(want, first, classes, fired)
+    linked = np.clip(tox.correlations(*plain_sums(want)), 0, 1)
+    for y in (0, 1):
+        np.fill_diagonal(linked[y], 0)
+    linked[linked < 0.1] = 0
+    want = tox.LabelModel(want.prior, want.fire, np.vstack((1 / (1 + linked[1].sum(1)), 1 / (1 + linked[0].sum(1)))))
+    classes, fired, _both = plain_sums(want)
+    want = tox._refit(want, first, classes, fired)
+    counted = spark.createDataFrame([(v,) for v in votes], "votes long").groupBy("votes").count().withColumnRenamed("count", "n")
+    got = tox.fit_label_model(counted, first)
+    assert abs(got.prior - want.prior) < 1e-9 and np.allclose(got.fire, want.fire, atol=1e-9) and np.allclose(got.weight, want.weight, atol=1e-9)
+    assert got.weight[1][0] < 0.8  # the pair shares its weight
+
+
+def test_score_is_the_softmax_of_averaged_vectors():
+    """The folded model against vectors averaged feature by feature and put through the softmax layer."""
+    rng = random.Random(8)
+    texts, labels = [prose(rng, 40, junk=i % 2 == 0) for i in range(30)], [i % 2 for i in range(30)]
+    model, vectors, layer, bias = train(texts, labels, whole=True)
+    for text in [*texts, "", "unseen words only here", "a"]:
+        total = np.zeros(vectors.shape[1])
+        found = features(text).tolist()
+        for f in found:
+            total += vectors[f]
+        logits = layer.astype(float) @ (total / len(found) if found else total) + bias
+        share = np.exp(logits - logits.max())
+        assert abs(model.score(text) - share[1] / share.sum()) < 1e-6
