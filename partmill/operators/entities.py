@@ -28,7 +28,7 @@ def normalized_match(names: DataFrame, aliases: DataFrame, key: str = "name_key"
 
 
 #: Bands of scores, searched from above, and how many rare bigrams make a key in each.
-BANDS = ((95.0, 3), (88.0, 3), (ENTITY_POSSIBLE, 2))
+BANDS = ((95.0, 3), (88.0, 2), (ENTITY_POSSIBLE, 2))
 
 
 def fuzzy_scores(names: DataFrame, aliases: DataFrame, key: str = "name_key") -> DataFrame:
