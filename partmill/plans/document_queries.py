@@ -67,21 +67,21 @@ def embedding(t: Tables):
 
 
 @query("doc_05_index_status", "", """
-WITH src AS (SELECT page_id AS product_id, CASE WHEN page_id % 10 = 9 THEN 'missing' ELSE url END AS url FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) u),
-pg AS (SELECT url, CASE WHEN page_id % 7 = 3 THEN ' ' ELSE text END AS content, page_id FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) u JOIN documents ON doc_id = page_id)
+WITH src AS (SELECT doc_id AS product_id, CASE WHEN doc_id % 10 = 9 THEN 'missing' ELSE 'https://docs.example.com/' || CAST(doc_id AS STRING) END AS url FROM documents),
+pg AS (SELECT 'https://docs.example.com/' || CAST(doc_id AS STRING) AS url, CASE WHEN doc_id % 7 = 3 THEN ' ' ELSE text END AS content FROM documents)
 SELECT product_id, CASE WHEN content IS NULL THEN 'FETCH_FAILED' WHEN trim(content) = '' THEN 'EMPTY_DOCUMENT' WHEN product_id % 4 = 1 THEN 'UNCHANGED' ELSE 'INDEXED' END AS index_status,
   CASE WHEN content IS NOT NULL AND trim(content) <> '' AND product_id % 4 <> 1 THEN sha256(content) END AS hash FROM src LEFT JOIN pg USING (url)""")
 def index_status(t: Tables):
     """DOC-05: changed documents are chunked and embedded, unchanged and empty ones skipped."""
-    first = t.pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    best = first.select(F.col("page_id").alias("product_id"), F.col("page_id").alias("source_id"),
-                        F.when(F.col("page_id") % 10 == 9, "missing").otherwise(F.col("url")).alias("url"),
-                        F.lit("MANUFACTURER").alias("source_type"), F.lit("PRODUCT_PAGE").alias("content_type"))
-    content = F.when(F.col("page_id") % 7 == 3, " ").otherwise(F.col("text"))
-    pages = first.join(t.documents.select(F.col("doc_id").alias("page_id"), "text"), "page_id").select(
-        "url", F.lit("t").alias("title"), content.alias("content"), F.array().cast("array<string>").alias("links"), "page_id")
-    stored = pages.where("page_id % 4 = 1").select(F.col("page_id").alias("product_id"), documents.content_hash(F.col("content")).alias("hash"))
-    context = first.select(F.col("page_id").alias("product_id"), F.lit("m").alias("mpn"), F.lit("b").alias("brand"), F.lit("f").alias("manufacturer"))
+    home = F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string"))
+    best = t.documents.select(F.col("doc_id").alias("product_id"), F.col("doc_id").alias("source_id"),
+                              F.when(F.col("doc_id") % 10 == 9, "missing").otherwise(home).alias("url"),
+                              F.lit("MANUFACTURER").alias("source_type"), F.lit("PRODUCT_PAGE").alias("content_type"))
+    content = F.when(F.col("doc_id") % 7 == 3, " ").otherwise(F.col("text"))
+    pages = t.documents.select(home.alias("url"), F.lit("t").alias("title"), content.alias("content"),
+                               F.array().cast("array<string>").alias("links"), "doc_id")
+    stored = pages.where("doc_id % 4 = 1").select(F.col("doc_id").alias("product_id"), documents.content_hash(F.col("content")).alias("hash"))
+    context = t.documents.select(F.col("doc_id").alias("product_id"), F.lit("m").alias("mpn"), F.lit("b").alias("brand"), F.lit("f").alias("manufacturer"))
     out = documents.index_documents(best, pages, context, stored)
     return out["status"].join(out["documents"].select("product_id", "hash"), "product_id", "left").select("product_id", "index_status", "hash")
 

@@ -75,12 +75,12 @@ SELECT p_partkey AS product_id, CASE p_partkey % 7 WHEN 0 THEN 'FAIL' WHEN 1 THE
   p_partkey % 7 >= 2 AS approved_for_output, (p_partkey % 5) / 4.0e0 AS evidence_coverage, (p_partkey % 9) / 8.0e0 AS completeness_score
 FROM part WHERE p_partkey % 4 <> 3"""),
     "product_reviews": ("", """
-SELECT o_orderkey AS review_id, o_orderkey % (SELECT count(*) FROM part) AS product_id,
+SELECT o_orderkey AS review_id, o_custkey % (SELECT count(*) FROM part) AS product_id,
   CASE o_orderkey % 5 WHEN 0 THEN 'LOV_INVALID' WHEN 1 THEN 'SOURCE_CONFLICT' WHEN 2 THEN 'UOM_INVALID' WHEN 3 THEN 'MISSING_REQUIRED' ELSE 'BRAND_CONFLICT' END AS issue_type,
   CASE o_orderkey % 4 WHEN 0 THEN 'Product Type' WHEN 1 THEN 'Width' WHEN 2 THEN 'Length' ELSE '' END AS attribute,
-  CASE o_orderkey % 7 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'IN_REVIEW' WHEN 3 THEN 'UNKNOWN' ELSE 'PENDING' END AS status,
+  CASE CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 2 ELSE o_orderkey % 7 END WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'IN_REVIEW' WHEN 3 THEN 'UNKNOWN' ELSE 'PENDING' END AS status,
   'value ' || CAST(o_orderkey % 10 AS STRING) AS current_value
-FROM orders WHERE o_orderkey % 3 = 0"""),
+FROM orders"""),
     "job_items": ("", """
 SELECT o_orderkey AS item_id, o_custkey % 20 AS job_id, o_orderkey % (SELECT count(*) FROM part) AS product_id,
   CASE o_orderkey % 9 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'PARTIAL' WHEN 3 THEN 'REVIEW_REQUIRED' WHEN 4 THEN 'FAILED' WHEN 5 THEN 'SKIPPED' ELSE 'APPROVED' END AS status,

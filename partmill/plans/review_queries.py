@@ -37,12 +37,12 @@ CAND = """cand AS (SELECT p_partkey AS product_id, 'Width' AS label, 0 AS ordina
 
 
 @query("rev_01_draft_candidates", "", f"""WITH {CAND}
-SELECT product_id, 'LOV_INVALID' AS issue_type, 0 AS block, ordinal, value, source FROM cand WHERE product_id % 2 = 0
-UNION ALL SELECT p_partkey, 'LOV_INVALID', 1, 0, p_brand, 'ALLOWED_LOV' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'LOV_INVALID', 1, 1, p_type, 'ALLOWED_LOV' FROM part WHERE p_partkey % 2 = 0""")
+SELECT product_id, 'LOV_INVALID' AS issue_type, 0 AS block, ordinal, value, source FROM cand
+UNION ALL SELECT p_partkey, 'LOV_INVALID', 1, 0, p_brand, 'ALLOWED_LOV' FROM part UNION ALL SELECT p_partkey, 'LOV_INVALID', 1, 1, p_type, 'ALLOWED_LOV' FROM part""")
 def draft_candidates(t: Tables):
     """REV-01: evidence candidates followed by the allowed list values."""
-    d = t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("product_id"), F.lit("LOV_INVALID").alias("issue_type"),
-                                                 F.lit("Width").alias("attribute"), F.array("p_brand", "p_type").alias("allowed_values"))
+    d = t.part.select(F.col("p_partkey").alias("product_id"), F.lit("LOV_INVALID").alias("issue_type"),
+                      F.lit("Width").alias("attribute"), F.array("p_brand", "p_type").alias("allowed_values"))
     c = t.sql(CAND[CAND.index("(") + 1:-1])
     return review.draft_candidates(d, c).select("product_id", "issue_type", "block", F.col("ordinal").cast("int").alias("ordinal"), "value", "source")
 
