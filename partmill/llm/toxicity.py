@@ -2,7 +2,10 @@
 
 Voters look at a text and fire or stay silent. Some are lexicons of insults by language and theme,
 some are patterns (shouting, disguised words, direct address with an insult), and some are
-lexicons mined from a bounded sample of labelled rows: words and frequent word beginnings that occur almost only in toxic texts, dealt to several voters.
+lexicons mined from a bounded sample of labelled rows: words and repeated word beginnings that occur almost only in toxic texts, dealt to several voters.
+
+A text is judged by its passages, runs of `SPAN` words that overlap, so that what stands around an insult neither hides
+nor adds to it: its votes are those of the passage where most voters fire, its score is that of its worst passage.
 
 A generative label model with two classes explains all votes of all documents: per voter the
 chance to fire in either class, per class the correlations of voters. It is fitted by expectation
@@ -11,7 +14,8 @@ per voter and pair of voters reach the driver. Voters that move together within
 their weight, so that ten copies of one voter do not count ten times.
 
 The model's posterior labels train a linear classifier on words and word beginnings (logistic,
-stochastic gradient descent) over a bounded sample of documents; that classifier scores all texts.
+stochastic gradient descent) over a bounded sample of documents: first on whole texts, then on the worst passage
+of each toxic text and on every passage of the others. That classifier scores all passages of all texts.
 
 Defined cases: null text is empty; a text without words gets the score of the bias. Documents
 labelled both ways are not learned from. Without labels the voters start from fixed rates. Held
@@ -59,26 +63,38 @@ PATTERNS = {
 MARKS = ("", "!?", "*@#$", "")  # a text without any of these characters needs no search for the pattern
 MINED = 12            # voters that share the mined entries
 HEADS = (4, 5, 6, 7)  # lengths of word beginnings
-DENSE = 0.008         # share of all words from which a beginning counts as frequent
+SPAN, STEP = 240, 160  # words of a passage, and from the start of one to the next
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str) -> set[str]:
-    """Distinct lower-case words of a text, and the word beginnings that at least two words and a
-    `DENSE` share of all words have, marked by a plus. (A single beginning says little in a long text.)"""
-    words = _WORD.findall(text.lower())
+def passages(text: str) -> list[str]:
+    """Runs of `SPAN` words that start every `STEP` words and together cover the text; a shorter text is one."""
+    if len(text) < 2 * SPAN:  # words have a gap between them
+        return [text]
+    starts = [w.start() for w in _WORD.finditer(text)]
+    more = max(0, -(-(len(starts) - SPAN) // STEP))
+    edges = [0, *starts[STEP:more * STEP + 1:STEP]]
+    return [text[a:starts[k * STEP + SPAN] if k < more else len(text)] for k, a in enumerate(edges)]
+
+
+def terms(passage: str) -> set[str]:
+    """Distinct lower-case words of a passage, and the word beginnings that at least two of its words have, marked by a plus."""
+    words = _WORD.findall(passage.lower())
     out = set(words)
-    least = max(2, DENSE * len(words))
-    for n in HEADS:  # a frequent beginning has frequent beginnings itself
+    for n in HEADS:  # a repeated beginning has repeated beginnings itself
         heads = Counter([w[:n] for w in words if len(w) > n])
-        frequent = {h for h, c in heads.items() if c >= least}
-        if not frequent:
+        repeated = {h for h, c in heads.items() if c > 1}
+        if not repeated:
             break
-        out.update([h + "+" for h in frequent])
-        words = [w for w in words if w[:n] in frequent]
+        out.update([h + "+" for h in repeated])
+        words = [w for w in words if w[:n] in repeated]
     return out
 
 
+def all_terms(text: str) -> set[str]:
+    return set().union(*map(terms, passages(text)))
+
+
 @dataclass(frozen=True)
 class Voters:
     lexicons: tuple[frozenset[str], ...]
@@ -88,7 +104,10 @@ class Voters:
         return len(self.lexicons) + len(self.patterns)
 
     def votes(self, text: str) -> int:
-        """Bit j is set where voter j fires."""
+        """Bit j is set where voter j fires, in the first passage of those with most votes."""
+        return max(map(self.votes_in, passages(text)), key=int.bit_count)
+
+    def votes_in(self, text: str) -> int:
         found, out = terms(text), 0
         for j, lexicon in enumerate(self.lexicons):
             if not lexicon.isdisjoint(found):
@@ -103,7 +122,7 @@ def _counts(texts: list[str], labels: list[float]) -> tuple[Counter, Counter, fl
     """Weighted document frequencies of all terms in either class."""
     toxic, clean, a, b = Counter(), Counter(), 0.0, 0.0
     for text, y in zip(texts, labels):
-        found = terms(text)
+        found = all_terms(text)
         if y > 0.5:
             toxic.update(found)
             a += 1
@@ -235,13 +254,31 @@ class Linear:
 
     def score(self, text: str | None) -> float:
         weights = self.weights
-        logit = self.bias + sum([weights[t] for t in weights.keys() & terms(text or "")])
+        logit = self.bias + max(sum([weights[t] for t in weights.keys() & terms(p)]) for p in passages(text or ""))
         return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
+def _descend(rows: list[np.ndarray], sure: np.ndarray, size: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
+    """Weights and bias after stochastic gradient descent over rows of term numbers with posteriors `sure`; both classes weigh the same."""
+    w, bias = np.zeros(size), 0.0
+    rng = np.random.default_rng(seed)
+    goal = (sure > 0.5).astype(np.float64)
+    share = (goal.sum() + 0.5) / (len(goal) + 1)
+    cost = np.where(goal > 0.5, 0.5 / share, 0.5 / (1 - share)) * np.maximum(0.2, np.abs(2 * sure - 1))
+    for epoch in range(epochs):
+        step = rate / (1 + 0.3 * epoch)
+        for i in rng.permutation(len(rows)):
+            ids = rows[i]
+            gap = (1 / (1 + np.exp(-np.clip(bias + w[ids].sum(), -40, 40))) - goal[i]) * cost[i]
+            w[ids] -= step * (gap + 1e-3 * w[ids])
+            bias -= step * 0.2 * gap
+    return w, float(bias)
+
+
 def train_linear(texts: list[str], posterior: list[float], most: int = 20_000, least: float = 9.0, epochs: int = 12, rate: float = 0.2, seed: int = 3) -> Linear:
-    """Logistic regression on the terms that tell the classes apart, against the posterior's
-    label, each row with the weight of how sure the posterior is."""
+    """Logistic regression on the terms that speak for the toxic class, against the posterior's
+    label, each row with the weight of how sure the posterior is. Terms of clean texts have no part
+    in it, so harmless words around an insult do not excuse it."""
     toxic, clean, a, b = _counts(texts, posterior)
     share = (a + 0.5) / (a + b + 1)
     if not a or not b:
@@ -249,24 +286,20 @@ def train_linear(texts: list[str], posterior: list[float], most: int = 20_000, l
     kept = []
     for term in set(toxic) | set(clean):
         g = evidence(toxic.get(term, 0), clean.get(term, 0), a, b)
-        if abs(g) >= least:
-            kept.append((-abs(g), term))
+        if g >= least:
+            kept.append((-g, term))
     kept = [t for _, t in sorted(kept)[:most]]
     place = {t: i for i, t in enumerate(kept)}
-    rows = [np.array(sorted(place[t] for t in place.keys() & terms(text)), np.int64) for text in texts]
-    w, bias = np.zeros(len(kept)), 0.0
-    rng = np.random.default_rng(seed)
+    parts = [[np.array(sorted(place[t] for t in place.keys() & terms(p)), np.int64) for p in passages(text)] for text in texts]
     sure = np.array(posterior)
-    goal = (sure > 0.5).astype(np.float64)
-    cost = np.where(goal > 0.5, 0.5 / share, 0.5 / (1 - share)) * np.maximum(0.2, np.abs(2 * sure - 1))
-    for epoch in range(epochs):
-        step = rate / (1 + 0.3 * epoch)
-        for i in rng.permutation(len(rows)):
-            ids = rows[i]
-            gap = (1 / (1 + np.exp(-np.clip(bias + w[ids].sum(), -40, 40))) - goal[i]) * cost[i]
-            w[ids] -= step * (gap + 1e-3 * w[ids])
-            bias -= step * 0.2 * gap
-    return Linear({t: float(x) for t, x in zip(kept, w) if abs(x) > 1e-3}, float(bias))
+    w, bias = _descend([np.unique(np.concatenate(ids)) for ids in parts], sure, len(kept), epochs, rate, seed)
+    rows, whose = [], []
+    for k, ids in enumerate(parts):
+        chosen = [max(ids, key=lambda i: w[i].sum())] if sure[k] > 0.5 else ids
+        rows += chosen
+        whose += [k] * len(chosen)
+    w, bias = _descend(rows, sure[whose], len(kept), epochs, rate, seed)
+    return Linear({t: float(x) for t, x in zip(kept, w) if abs(x) > 1e-3}, bias)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, per_side: int = 1500, max_chars: int = MAX_CHARS,

@@ -157,6 +157,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert not any(r.predicted for r in got if r.doc_id in (None, 5000, 5001, 5002))
 
 
+def test_passages_cover_the_text():
+    for n in (0, 1, 239, 240, 241, 400, 401, 1000, 20_000):
+        words = [f"w{chr(97 + i % 26)}" for i in range(n)]
+        got = tox.passages(" ".join(words))
+        cut = [words[:tox.SPAN]] if n <= tox.SPAN else [words[i:i + tox.SPAN] for i in range(0, n - tox.SPAN + tox.STEP, tox.STEP)]
+        assert [p.split() for p in got] == cut
+    assert tox.passages(".. " * 1000) == [".. " * 1000]
+
+
+def test_toxic_passages_count_in_texts_of_any_length():
+    rng = random.Random(4)
+    insults = [prose(rng, 40, insults=4) for _ in range(60)]
+    clean = [prose(rng, rng.randint(20, 600)) for _ in range(200)]
+    model = tox.train_linear(insults + clean, [0.98] * 60 + [0.02] * 200)
+    for n in (0, 200, 5_000, 20_000):
+        before, after = prose(rng, n // 3), prose(rng, n - n // 3)
+        assert model.score(before + " " + after) < 0.7
+        assert np.mean([model.score(f"{before} {t} {after}") >= 0.7 for t in insults[:20]]) > 0.9
+
+
 def test_toxicity_without_labels_and_rows(spark):
     docs, labels, _ = labelled(spark, random.Random(4), "toxic", 200)
     got = {r.doc_id: r.score for r in tox.toxicity(docs, labels.limit(0)).collect()}
