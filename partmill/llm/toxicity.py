@@ -30,8 +30,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -77,10 +78,26 @@ def passages(text: str) -> list[str]:
     return [text[a:starts[k * STEP + SPAN] if k < more else len(text)] for k, a in enumerate(edges)]
 
 
-def terms(passage: str) -> set[str]:
-    """Distinct lower-case words of a passage, and the word beginnings that at least two of its words have, marked by a plus."""
-    words = _WORD.findall(passage.lower())
+def words_of(text: str) -> list[str]:
+    return " ".join(_WORD.findall(text)).lower().split()
+
+
+def runs(words: list[str]) -> list[list[str]]:
+    """The words of each of the text's passages."""
+    return [words[a:a + SPAN] for a in range(0, max(1, len(words) - SPAN + STEP), STEP)]
+
+
+def roots(vocabulary: Iterable[str]) -> set[str]:
+    """Shortest beginnings of the word beginnings among some terms."""
+    return {t[:HEADS[0]] for t in vocabulary if t.endswith("+")}
+
+
+def terms(words: list[str], only: set[str] | None = None) -> set[str]:
+    """Distinct words of a passage, and the word beginnings that at least two of its words have, marked by a plus.
+    With `only`, beginnings are looked for under these roots alone."""
     out = set(words)
+    if only is not None:
+        words = [w for w in words if w[:HEADS[0]] in only]
     for n in HEADS:  # a repeated beginning has repeated beginnings itself
         heads = Counter([w[:n] for w in words if len(w) > n])
         repeated = {h for h, c in heads.items() if c > 1}
@@ -92,7 +109,7 @@ def terms(passage: str) -> set[str]:
 
 
 def all_terms(text: str) -> set[str]:
-    return set().union(*map(terms, passages(text)))
+    return set().union(*map(terms, runs(words_of(text))))
 
 
 @dataclass(frozen=True)
@@ -103,19 +120,25 @@ class Voters:
     def __len__(self) -> int:
         return len(self.lexicons) + len(self.patterns)
 
+    @cached_property
+    def entries(self) -> frozenset[str]:
+        return frozenset().union(*self.lexicons)
+
+    @cached_property
+    def roots(self) -> set[str]:
+        return roots(self.entries)
+
     def votes(self, text: str) -> int:
         """Bit j is set where voter j fires, in the first passage of those with most votes."""
-        return max(map(self.votes_in, passages(text)), key=int.bit_count)
-
-    def votes_in(self, text: str) -> int:
-        found, out = terms(text), 0
-        for j, lexicon in enumerate(self.lexicons):
-            if not lexicon.isdisjoint(found):
-                out |= 1 << j
+        seen = [self._lexicon_votes(words) for words in runs(words_of(text))]
         for j, (pattern, marks) in enumerate(zip(self.patterns, MARKS), len(self.lexicons)):
             if (not marks or any(c in text for c in marks)) and pattern.search(text):
-                out |= 1 << j
-        return out
+                seen = [bits | bool(pattern.search(p)) << j for bits, p in zip(seen, passages(text))]
+        return max(seen, key=int.bit_count)
+
+    def _lexicon_votes(self, words: list[str]) -> int:
+        found = terms(words, self.roots) & self.entries
+        return sum(1 << j for j, lexicon in enumerate(self.lexicons) if not lexicon.isdisjoint(found)) if found else 0
 
 
 def _counts(texts: list[str], labels: list[float]) -> tuple[Counter, Counter, float, float]:
@@ -252,9 +275,13 @@ class Linear:
     weights: dict[str, float]
     bias: float
 
+    @cached_property
+    def roots(self) -> set[str]:
+        return roots(self.weights)
+
     def score(self, text: str | None) -> float:
         weights = self.weights
-        logit = self.bias + max(sum([weights[t] for t in weights.keys() & terms(p)]) for p in passages(text or ""))
+        logit = self.bias + max(sum([weights[t] for t in weights.keys() & terms(p, self.roots)]) for p in runs(words_of(text or "")))
         return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
@@ -289,8 +316,8 @@ def train_linear(texts: list[str], posterior: list[float], most: int = 20_000, l
         if g >= least:
             kept.append((-g, term))
     kept = [t for _, t in sorted(kept)[:most]]
-    place = {t: i for i, t in enumerate(kept)}
-    parts = [[np.array(sorted(place[t] for t in place.keys() & terms(p)), np.int64) for p in passages(text)] for text in texts]
+    place, under = {t: i for i, t in enumerate(kept)}, roots(kept)
+    parts = [[np.array(sorted(place[t] for t in place.keys() & terms(p, under)), np.int64) for p in runs(words_of(text))] for text in texts]
     sure = np.array(posterior)
     w, bias = _descend([np.unique(np.concatenate(ids)) for ids in parts], sure, len(kept), epochs, rate, seed)
     rows, whose = [], []

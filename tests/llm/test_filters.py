@@ -163,9 +163,20 @@ def test_passages_cover_the_text():
         got = tox.passages(" ".join(words))
         cut = [words[:tox.SPAN]] if n <= tox.SPAN else [words[i:i + tox.SPAN] for i in range(0, n - tox.SPAN + tox.STEP, tox.STEP)]
         assert [p.split() for p in got] == cut
+        assert tox.runs(tox.words_of(" ".join(words))) == cut
     assert tox.passages(".. " * 1000) == [".. " * 1000]
 
 
+def test_roots_leave_no_known_beginning_out():
+    rng = random.Random(8)
+    for _ in range(50):
+        words = prose(rng, 120).split()
+        found = sorted(tox.terms(words))
+        known = set(rng.sample(found, len(found) // 3))
+        assert known & tox.terms(words, tox.roots(known)) == known
+        assert tox.terms(words, tox.roots(known)) <= set(found)
+
+
 def test_toxic_passages_count_in_texts_of_any_length():
     rng = random.Random(4)
     insults = [prose(rng, 40, insults=4) for _ in range(60)]
