@@ -163,8 +163,9 @@ def two_tier(scored: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def research_status(ranked: DataFrame, products: DataFrame) -> DataFrame:
-    found = ranked.groupBy("product_id").agg(
+def research_status(sources: DataFrame, products: DataFrame) -> DataFrame:
+    """Sources found and status per product, over all rows of `sources` (ranked, or every matching hit)."""
+    found = sources.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("sources_found"),
         F.bool_or(F.col("source_type") == "MANUFACTURER").alias("manufacturer_found"))
     joined = products.select("product_id").join(found, "product_id", "left")
