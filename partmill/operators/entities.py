@@ -11,7 +11,7 @@ from ..functions.text import (brand_conflict_strict, first_real_brand, fold_enti
                               is_missing_entity, is_placeholder_brand, strip)
 from ..scale import lookup, materialize
 from ..sources.dimensions import first_wins
-from .matching import gram_pairs, gram_rows, sorted_tokens
+from .matching import CLOSE, close_pairs, gram_pairs, gram_rows, plain_tokens, sorted_tokens
 
 MATCH = ["canonical", "confidence", "method", "status"]
 
@@ -34,20 +34,35 @@ BANDS = ((95.0, 3), (88.0, 2), (ENTITY_POSSIBLE, 2))
 def fuzzy_scores(names: DataFrame, aliases: DataFrame, key: str = "name_key") -> DataFrame:
     """Best alias per name by token_sort_ratio, of at least 80.
 
-    Every pair of a band is found, so a name that scores there is done with: the lower bands, where
+    Aliases that differ by a few left-out characters are found first. With d characters left out of
+    texts of length m and n the ratio is 100 - 100 d / (m + n), and n is at most m + d: a name
+    whose best score is above that of any text with more left out is done with. The others are searched in
+    bands. Every pair of a band is found, so a name that scores there is done with: the lower bands, where
     names of one pattern are all alike, are searched only for names without a close alias.
     """
-    catalog = aliases.select("entry", "position", "canonical", "alias_key")
-    right = materialize(gram_rows(catalog, "alias_key", sorted_tokens(F.col("alias_key"))), "grams")
-    left = materialize(gram_rows(names, key, sorted_tokens(F.col(key))), "name-grams")
+    catalog = materialize(aliases.select("entry", "position", "canonical", "alias_key"), "aliases")
     order = Window.partitionBy(key).orderBy(F.desc("score"), "entry", "position")
-    found = None
-    for least, together in BANDS:
-        pairs = gram_pairs(left, right, key, "alias_key", least, together)
+
+    def best_of(pairs: DataFrame, least: float) -> DataFrame:
         scored = pairs.withColumn("score", token_sort_ratio(F.col(key), F.col("alias_key"))).where(F.col("score") >= least)
         best = scored.join(lookup(catalog), "alias_key").withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
-        best = materialize(best.select(key, "canonical", "score"), "band")
+        return best.select(key, "canonical", "score")
+
+    rest = materialize(names.select(key).where(F.col(key) != "").distinct(), "name-keys")
+    found = None
+    for most, longest in CLOSE:
+        more = 2 * F.length(plain_tokens(F.col(key))) + most + 1
+        best = best_of(close_pairs(rest, catalog, key, "alias_key", most, longest), ENTITY_POSSIBLE)
+        best = materialize(best.where(F.col("score") > 100 - 100 * (most + 1) / more + 1e-9), "close")
         found = best if found is None else found.unionByName(best)
+        rest = materialize(rest.join(best.select(key), key, "left_anti"), "name-keys")
+        if rest.isEmpty():
+            return found
+    right = materialize(gram_rows(catalog, "alias_key", sorted_tokens(F.col("alias_key"))), "grams")
+    left = materialize(gram_rows(rest, key, sorted_tokens(F.col(key))), "name-grams")
+    for least, together in BANDS:
+        best = materialize(best_of(gram_pairs(left, right, key, "alias_key", least, together), least), "band")
+        found = found.unionByName(best)
         left = left.join(best.select(key), key, "left_anti")
         if least > ENTITY_POSSIBLE:
             left = materialize(left, "name-grams")

@@ -82,6 +82,53 @@ def gram_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return a.join(b, "_k").where(near).where(alike).select(left_key, right_key).distinct()
 
 
+#: Searches by left-out characters: how many of both strings together, and the longest string whose variants are listed.
+CLOSE = ((2, 90), (3, 30))
+
+
+def plain_tokens(c: Column) -> Column:
+    """The words of a string in order with single blanks, as the ratio compares them."""
+    return F.array_join(F.array_sort(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")), " ")
+
+
+def _variants(n: int) -> Column:
+    """Hash of every string left of `_s` without n of its characters."""
+    left = "array(struct(_s AS s, 0 AS i))"
+    for _ in range(n):  # leave out one more, not before the last one left out
+        left = (f"flatten(transform({left}, x -> transform(filter(sequence(1, length(x.s) + 1), p -> p > x.i AND p <= length(x.s)), "
+                "p -> struct(concat(substring(x.s, 1, p - 1), substring(x.s, p + 1)) AS s, p - 1 AS i))))")
+    return F.array_distinct(F.expr(f"transform({left}, x -> xxhash64(x.s))"))
+
+
+def close_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, most: int, longest: int) -> DataFrame:
+    """Distinct (left_key, right_key) whose texts of sorted words are equal once a and b characters are left
+    out of them, a + b <= `most`; right texts of up to `longest` characters and left ones `most` shorter.
+
+    Names of one pattern share nearly all bigrams, but hardly ever what is left without so few
+    characters. Lengths m and n fix b = n - m + a, so only variants that the other side's lengths
+    can meet are listed, and a pair is formed only if it is that close.
+    """
+    # A few names have very many variants: a fixed number of tasks, which small inputs would not get.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ours = left.select(left_key).distinct().repartition(tasks, left_key).withColumn("_s", plain_tokens(F.col(left_key))).withColumn("_m", F.length("_s"))
+    theirs = right.select(right_key).distinct().repartition(tasks, right_key).withColumn("_s", plain_tokens(F.col(right_key))).withColumn("_n", F.length("_s"))
+    ours, theirs = ours.where((F.col("_m") > 0) & (F.col("_m") <= longest - most)), theirs.where((F.col("_n") > 0) & (F.col("_n") <= longest))
+    steps = ours.select("_m").distinct().crossJoin(F.broadcast(theirs.select("_n").distinct())).withColumn(
+        "_a", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("_b", F.col("_n") - F.col("_m") + F.col("_a"))
+    # At most `longest` lengths a side.
+    steps = materialize(steps.where((F.col("_b") >= 0) & (F.col("_a") + F.col("_b") <= most)), "lengths")
+
+    def rows(texts: DataFrame, key: str, length: str, out: str) -> DataFrame:
+        wanted = steps.select(length, "_a", "_b").distinct()
+        every = None
+        for n in range(most + 1):
+            some = texts.join(F.broadcast(wanted.where(F.col(out) == n)), length).select(
+                key, F.explode(F.transform(_variants(n), lambda h: F.xxhash64(h, "_a", "_b"))).alias("_k"))
+            every = some if every is None else every.unionByName(some)
+        return every
+    return rows(ours, left_key, "_m", "_a").join(rows(theirs, right_key, "_n", "_b"), "_k").select(left_key, right_key).distinct()
+
+
 def _words(strings: DataFrame, key: str) -> DataFrame:
     """Distinct keys with their distinct words: key, _t, _n (length of the words with blanks between)."""
     words = F.array_distinct(F.filter(F.split(key, " "), lambda w: w != ""))
