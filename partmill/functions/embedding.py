@@ -25,8 +25,8 @@ def slot(token: str, dim: int = VECTOR_DIM) -> int:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_vector(texts: pd.Series) -> pd.Series:
     seen: dict[str, int] = {}
-    out = []
-    for text in texts:
+    out = np.zeros((len(texts), VECTOR_DIM))
+    for row, text in enumerate(texts):
         index, weight = [], []
         for token, n in Counter(TOKEN.findall((text or "").lower())).items():
             for feature, w in ((token, 1.0), (token[:3], 0.25)) if len(token) >= 3 else ((token, 1.0),):
@@ -37,8 +37,8 @@ def hash_vector(texts: pd.Series) -> pd.Series:
                 weight.append(w * n)
         vector = np.bincount(np.array(index, dtype="int64"), weights=weight, minlength=VECTOR_DIM)
         norm = float(np.sqrt((vector * vector).sum())) or 1.0
-        out.append(vector / norm)
-    return pd.Series(out)
+        out[row] = vector / norm
+    return pd.Series(list(out))
 
 
 # Never evaluated a second time for a filter the optimizer infers from its result.

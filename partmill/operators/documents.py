@@ -24,6 +24,9 @@ from .normalization import Vocabulary, approved_type_from_title
 SMALL_INPUT = 2 << 30  # as planned: eight times the file size (see scale.tune)
 
 
+DOCUMENTS_AT_ONCE = 50  # cut into chunks before a Python worker hands them over
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give Python stages enough tasks when the input is small and arrives in few partitions;
     a large input already has many and is left alone."""
@@ -60,13 +63,15 @@ def chunk_documents(documents: DataFrame, text: str = "content", size: int = CHU
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pieces = batch[text].map(lambda t: split_chunks(t, size, overlap))
-            out = batch[keep].assign(_p=pieces).explode("_p", ignore_index=True)
-            out = out[out["_p"].notna()]
-            out = out.assign(chunk_index=[p[0] for p in out["_p"]],
-                             page=pd.array([p[1] for p in out["_p"]], dtype="Int64"),
-                             chunk_text=[p[2] for p in out["_p"]])
-            yield out.drop(columns="_p")
+            for start in range(0, len(batch), DOCUMENTS_AT_ONCE):
+                some = batch.iloc[start:start + DOCUMENTS_AT_ONCE]
+                pieces = some[text].map(lambda t: split_chunks(t, size, overlap))
+                out = some[keep].assign(_p=pieces).explode("_p", ignore_index=True)
+                out = out[out["_p"].notna()]
+                out = out.assign(chunk_index=[p[0] for p in out["_p"]],
+                                 page=pd.array([p[1] for p in out["_p"]], dtype="Int64"),
+                                 chunk_text=[p[2] for p in out["_p"]])
+                yield out.drop(columns="_p")
     return spread(documents).mapInPandas(run, f"{schema}, chunk_index int, page long, chunk_text string")
 
 
