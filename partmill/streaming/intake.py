@@ -49,9 +49,10 @@ INVALID = "\u0001"
 
 
 def marked_arrivals(stream: DataFrame) -> DataFrame:
-    """Validated rows of a stream with status INGESTED, DUPLICATE_CANDIDATE or INVALID.
+    """Validated rows of a stream with status INGESTED, DUPLICATE_CANDIDATE or INVALID, as a stream for any sink.
 
-    What is remembered of a stored part number is one entry of keyed state, so a micro-batch touches
+    Python is called once for every part number: `incremental_intake`, which writes folders, counts
+    instead. What is remembered of a stored part number is one entry of keyed state, so a micro-batch touches
     the entries of its own numbers and never reads the stored products. Rows that were stored are
     not re-flagged when a later batch repeats their part number. Invalid rows have keys of their own
     and leave no state.
@@ -64,17 +65,38 @@ def marked_arrivals(stream: DataFrame) -> DataFrame:
         _mark, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout).drop("_key")
 
 
+def counted_arrivals(stream: DataFrame) -> DataFrame:
+    """Validated rows of a stream and, beside them, a row (_number, _total) for every part number among the valid
+    ones of a micro-batch: how often it has come up to now.
+
+    The count is the only entry of keyed state of a part number; a micro-batch touches the entries of its own
+    numbers and never reads the stored products. Invalid rows leave no state.
+    """
+    checked = validate_rows(stream)
+    totals = checked.where("error is null").groupBy(F.col("mpn").alias("_number")).agg(F.count(F.lit(1)).alias("_total"))
+    return checked.unionByName(totals, allowMissingColumns=True)
+
+
 def incremental_intake(stream: DataFrame, products_path: str, errors_path: str, checkpoint: str) -> DataStreamWriter:
-    """Each micro-batch is written to its own batch folder, so a repeated batch overwrites itself."""
+    """Each micro-batch is written to its own batch folder, so a repeated batch overwrites itself.
+
+    A row whose part number has come once is INGESTED, any other a DUPLICATE_CANDIDATE; rows that
+    were stored are not re-flagged when a later batch repeats their part number.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # marking must not run once for each of the two outputs
-        batch.where("error is null").drop("error").write.mode("overwrite").parquet(f"{products_path}/batch_id={batch_id}")
-        batch.where("error is not null").select("product_id", "source_index", "error").write.mode("overwrite").parquet(
+        batch.persist().count()  # the counts are read from state once, not for each use
+        rows = batch.where("_total is null").drop("_number", "_total")
+        copied = batch.where("_total > 1").select(F.col("_number").alias("mpn"), F.lit(True).alias("_copied"))
+        valid = rows.where("error is null").drop("error")
+        status = F.when(F.col("_copied"), "DUPLICATE_CANDIDATE").otherwise("INGESTED").alias("status")
+        valid.join(copied, "mpn", "left").select(*valid.columns, status).write.mode("overwrite").parquet(
+            f"{products_path}/batch_id={batch_id}")
+        rows.where("error is not null").select("product_id", "source_index", "error").write.mode("overwrite").parquet(
             f"{errors_path}/batch_id={batch_id}")
         batch.unpersist()
 
-    return (marked_arrivals(stream).writeStream.outputMode("append").foreachBatch(handle)
+    return (counted_arrivals(stream).writeStream.outputMode("update").foreachBatch(handle)
             .option("checkpointLocation", checkpoint))
 
 
