@@ -93,16 +93,12 @@ def review_breakdown(queue: DataFrame, items: DataFrame | None = None) -> DataFr
     """Open items and distinct products in total, by issue type, by attribute, and
     LOV-invalid by attribute.
 
-    Rows are first counted per (issue, attribute, product); the grouping sets then expand
-    only those counts, and every distinct product is a row by itself.
+    Rows are first counted per (issue, attribute, product), then per scope and product: every product is
+    then one row of its scope. Only these rows meet the jobs, of which each has a product once, so
+    what a join gives is added up as it comes and no product is grouped again for every job.
     """
     rows = queue.where(F.col("status").isin(OPEN_REVIEW))
-    keys = ["issue_type", "attribute", "product_id"]
-    if items is not None:
-        rows = rows.join(items.select("job_id", "product_id").distinct(), "product_id")
-        keys = ["job_id", *keys]
-    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    lead = [c for c in keys if c == "job_id"]
+    base = rows.groupBy("issue_type", "attribute", "product_id").agg(F.count(F.lit(1)).alias("n"))
     lov = F.col("issue_type") == "LOV_INVALID"
     scopes = F.array_compact(F.array(
         F.struct(F.lit("total").alias("scope"), F.lit("").alias("name")),
@@ -110,8 +106,12 @@ def review_breakdown(queue: DataFrame, items: DataFrame | None = None) -> DataFr
         F.when(F.col("attribute") != "", F.struct(F.lit("attribute").alias("scope"), F.col("attribute").alias("name"))),
         F.when(lov & (F.col("attribute") != ""), F.struct(F.lit("lov_attribute").alias("scope"), F.col("attribute").alias("name"))),
     ))
-    per_product = base.select(*lead, "product_id", "n", F.explode(scopes).alias("s")).groupBy(
-        *lead, F.col("s.scope").alias("scope"), F.col("s.name").alias("name"), "product_id").agg(F.sum("n").alias("n"))
+    per_product = base.select("product_id", "n", F.explode(scopes).alias("s")).groupBy(
+        F.col("s.scope").alias("scope"), F.col("s.name").alias("name"), "product_id").agg(F.sum("n").alias("n"))
+    lead = []
+    if items is not None:
+        per_product = per_product.join(items.select("job_id", "product_id").distinct(), "product_id")
+        lead = ["job_id"]
     return per_product.groupBy(*lead, "scope", "name").agg(
         F.sum("n").alias("items"), F.count(F.lit(1)).alias("products"))
 
