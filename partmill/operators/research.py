@@ -186,7 +186,9 @@ def discover(hits: DataFrame, context: DataFrame, classes: DataFrame, own_hosts:
 
 
 def best_manufacturer_source(sources: DataFrame) -> DataFrame:
-    order = Window.partitionBy("product_id").orderBy(F.desc("authority_score"), F.desc("relevance_score"), "source_id")
+    """Best manufacturer source per product; missing ids come last, and of equal ids the smallest URL is taken."""
+    order = Window.partitionBy("product_id").orderBy(
+        F.desc("authority_score"), F.desc("relevance_score"), F.asc_nulls_last("source_id"), "url")
     return (sources.where("source_type = 'MANUFACTURER'").withColumn("_rn", F.row_number().over(order))
             .where("_rn = 1").drop("_rn"))
 
